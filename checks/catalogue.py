@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import reports  # noqa: F401
+from checks import joins, reports  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
