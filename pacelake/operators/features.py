@@ -20,6 +20,7 @@ from pacelake.schemas import (
     IMPUTE_NEIGHBOURS, SESSION_BENEFIT, SESSION_EXCLUDE, SESSION_SPEED, SESSION_STAMINA,
     SESSION_STAMINA_FILL, SESSION_TIMES, SPARSE_SHARE,
 )
+from pacelake.session import cut_lineage
 
 MAX_CATEGORIES = 1000
 
@@ -59,28 +60,20 @@ class RobustScaler:
 # -- categories --------------------------------------------------------------------
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, v, n) over the non-null values of several columns, in one pass."""
+    long = df.select(*[_col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
+    return long.filter("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n"))
+
+
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent value per column; the smallest one on a tie."""
     if not columns:
         return {}
-    long = df.select(*[_col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
-    counts = long.filter("v IS NOT NULL").groupBy("column", "v").count()
-    best = counts.groupBy("column").agg(F.min_by("v", F.struct(-F.col("count"), "v")).alias("v"))
+    best = value_counts(df, columns).groupBy("column").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"))
     return {r["column"]: r["v"] for r in best.collect()}
 
 
-def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values per column. More than ``limit`` is an error, not a cut."""
-    out = {}
-    for c in columns:
-        values = df.select(_col(c).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-        found = [r[0] for r in values.limit(limit + 1).collect()]
-        if len(found) > limit:
-            raise ValueError(f"{c} has more than {limit} categories; one column each is not sensible")
-        out[c] = sorted(found)
-    return out
-
-
 @dataclass
 class OneHot:
     """0/1 column per category. With exactly two, the first has none; unknown is all 0."""
@@ -90,7 +83,19 @@ class OneHot:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], fill: bool = True, limit: int = MAX_CATEGORIES) -> OneHot:
-        return cls(categories(df, columns, limit), most_frequent(df, columns) if fill else {})
+        """Sorted categories and the fill value. More than ``limit`` is an error, not a cut."""
+        if not columns:
+            return cls({})
+        most = limit * len(columns)
+        found = value_counts(df, columns).limit(most + 1).collect()
+        values = {c: sorted(r["v"] for r in found if r["column"] == c) for c in columns}
+        if len(found) > most or max(map(len, values.values())) > limit:
+            raise ValueError(f"more than {limit} categories; one column each is not sensible")
+        usual = {}
+        for c in columns if fill else ():
+            ranked = [(-r["n"], r["v"]) for r in found if r["column"] == c]
+            usual[c] = min(ranked)[1] if ranked else None
+        return cls(values, {c: v for c, v in usual.items() if v is not None})
 
     def shown(self, column: str) -> list[str]:
         found = self.values[column]
@@ -266,7 +271,8 @@ def _label_benefit(df: DataFrame, s: Settings) -> DataFrame:
 def fit_encoder(df: DataFrame, settings: Settings) -> EncoderModel:
     """Fit all parts of an encoder on one table."""
     names = [*settings.keys, settings.row_id, *settings.block]
-    sparse = set(profile.sparse_columns(df.drop(*names), settings.sparse_share))
+    total, nulls = profile.null_counts(df.drop(*names))
+    sparse = {c for c, n in nulls.items() if n >= total * settings.sparse_share}
     present = [c for c in df.columns if c not in sparse]
     s = replace(
         settings,
@@ -281,14 +287,14 @@ def fit_encoder(df: DataFrame, settings: Settings) -> EncoderModel:
     imputer = None
     if neighbour:
         imputer = fit_neighbour_imputer(df, neighbour, s.row_id, s.block, k=s.neighbours)
-    marked = columns_with_nulls(df, neighbour) if s.indicators else []
-    hot = OneHot.fit(df, s.one_hot)
-    if s.benefit:
-        labelled = OneHot.fit(_label_benefit(df.select(s.benefit), s), [s.benefit], fill=False)
-        hot = OneHot({**labelled.values, **hot.values}, hot.fill)
+    marked = [c for c in neighbour if nulls[c]] if s.indicators else []
+    hot = OneHot.fit(_label_benefit(df, s), [s.benefit, *s.one_hot] if s.benefit else s.one_hot)
+    hot.fill.pop(s.benefit, None)
     model = EncoderModel(s, neighbour, marked, imputer, RobustScaler({}), hot)
     scaled = [*neighbour, *s.speed, *s.constant, *map(indicator, marked)]
     filled = model.fill(df).select(*[_col(c) for c in scaled]) if scaled else df
+    if imputer is not None:
+        filled = cut_lineage(filled)  # read twice; neighbours are searched once
     return replace(model, scaler=RobustScaler.fit(filled, scaled))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pacelake.operators.ordering import number_rows, running_sum
 from pacelake.schemas import IMPUTE_NEIGHBOURS
-from pacelake.session import MAX_GROUP_ROWS, is_small
+from pacelake.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, cut_lineage
 
 TILE_ROWS = 4096
 VISIT_ROWS = 4096
+BATCH_ROWS = 20_000
 _STEP = 64
 
 
@@ -62,7 +64,6 @@ def _solve_block(width: int, k: int):
     """Whole athlete in one task: filled values of the incomplete rows."""
 
     def solve(rows: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        donors = donors.sort_values("rid")
         need, have = _matrix(rows, width), _matrix(donors, width)
         filled = need.copy()
         for i, f, _, best in _neighbours(need, have, k):
@@ -81,7 +82,6 @@ def _solve_tile(width: int, k: int):
     def solve(visits: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         out = {"rid": [], "f": [], "dist": [], "donor": [], "value": []}
         if len(visits) and len(donors):
-            donors = donors.sort_values("rid")
             need, have = _matrix(visits, width), _matrix(donors, width)
             rid, did = visits["rid"].to_numpy(), donors["rid"].to_numpy()
             for i, f, dist, best in _neighbours(need, have, k):
@@ -127,19 +127,34 @@ class NeighbourImputer:
         cells = [F.get("v", F.lit(i)).alias(f"v{i}") for i in range(len(self.columns))]
         return df.select(*[F.col(c).alias(prefix + c) for c in columns], "rid", *cells)
 
-    def _cogroup(self, left: DataFrame, right: DataFrame, keys: list[str], solve, *fields: T.StructField) -> DataFrame:
-        """``solve`` on the rows and the donors of each group, key columns put back."""
-        rows = self._cells(left, *keys)
-        donors = self._cells(right, *keys, prefix="d_")
-        schema = T.StructType([rows.schema[k] for k in keys] + list(fields))
+    def _cogroup(
+        self, left: DataFrame, right: DataFrame, keys: list[str], n_rows: int, solve, *fields: T.StructField
+    ) -> DataFrame:
+        """``solve`` on the rows and the donors of each group, key columns put back.
 
-        def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = solve(a, b)
-            for i, name in enumerate(keys):
-                out.insert(i, name, key[i])
-            return out
+        Groups are bounded but often tiny, so Python gets them by batches of about
+        ``BATCH_ROWS`` rows; ``n_rows`` is the rough size of both sides.
+        """
+        donor_keys = [f"d_{k}" for k in keys]
+        batches = max(left.sparkSession.sparkContext.defaultParallelism, n_rows // BATCH_ROWS)
+        rows = self._cells(left, *keys).withColumn("batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+        donors = self._cells(right, *keys, prefix="d_").withColumn(
+            "d_batch", F.pmod(F.xxhash64(*donor_keys), F.lit(batches))
+        )
+        schema = T.StructType([rows.schema[k] for k in keys] + list(fields))
 
-        pairs = rows.groupBy(*keys).cogroup(donors.groupBy(*[f"d_{k}" for k in keys]))
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("rid")
+            by_key = b.groupby(donor_keys, sort=False).indices
+            out = []
+            for key, at in a.groupby(keys, sort=False).indices.items():
+                part = solve(a.take(at), b.take(by_key.get(key, [])))
+                for i, name in enumerate(keys):
+                    part.insert(i, name, key[i] if isinstance(key, tuple) else key)
+                out.append(part)
+            return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+
+        pairs = rows.groupBy("batch").cogroup(donors.groupBy("d_batch"))
         return pairs.applyInPandas(run, schema)
 
     # -- nearest rows --------------------------------------------------------
@@ -151,23 +166,25 @@ class NeighbourImputer:
     def _by_block(self, df: DataFrame) -> DataFrame:
         donors = self._vectors(self.donors)
         need = self._vectors(df).filter(F.exists("v", lambda x: x.isNull()))
-        sizes = donors.groupBy(*self.block).agg(F.count("*").alias("n")).filter(F.col("n") > self.tile_rows)
-        needed = need.groupBy(*self.block).agg(F.count("*").alias("n")).filter(F.col("n") > self.tile_rows)
-        large = sizes.select(*self.block).union(needed.select(*self.block)).distinct()
-        if large.isEmpty():
-            return self._solve_small(need, donors)
-        key = F.broadcast(large) if is_small(large) else large
+        sides = donors.select(*self.block, F.lit(1).alias("d")).union(need.select(*self.block, F.lit(0)))
+        sizes = sides.groupBy(*self.block).agg(F.sum("d").alias("d"), F.sum(1 - F.col("d")).alias("r"))
+        is_large = F.greatest("d", "r") > self.tile_rows
+        n_rows, n_large = sizes.agg(F.sum(F.col("d") + F.col("r")), F.count_if(is_large)).first()
+        if not n_large:
+            return self._solve_small(need, donors, n_rows or 0)
+        large = sizes.filter(is_large).select(*self.block)
+        key = F.broadcast(large) if n_large <= MAX_BROADCAST_ROWS else large
         small = self._solve_small(
-            need.join(key, self.block, "left_anti"), donors.join(key, self.block, "left_anti")
+            need.join(key, self.block, "left_anti"), donors.join(key, self.block, "left_anti"), n_rows
         )
         return small.unionByName(self._solve_large(
             need.join(key, self.block, "left_semi"), donors.join(key, self.block, "left_semi")
         ))
 
-    def _solve_small(self, need: DataFrame, donors: DataFrame) -> DataFrame:
+    def _solve_small(self, need: DataFrame, donors: DataFrame, n_rows: int) -> DataFrame:
         cells = [T.StructField(f"v{i}", T.DoubleType()) for i in range(len(self.columns))]
         solve = _solve_block(len(self.columns), self.k)
-        return self._cogroup(need, donors, self.block, solve, T.StructField("rid", T.LongType()), *cells)
+        return self._cogroup(need, donors, self.block, n_rows, solve, T.StructField("rid", T.LongType()), *cells)
 
     # -- athletes too large for one task --------------------------------------
 
@@ -184,21 +201,21 @@ class NeighbourImputer:
             donors.withColumn("_x", F.coalesce(x, F.lit(float("inf")))), self.block, ["_x", "rid"], "_pos",
             self.max_group_rows,
         )
-        tiles = placed.withColumn("tile", F.floor(F.col("_pos") / self.tile_rows)).drop("_pos")
+        tiles = cut_lineage(placed.withColumn("tile", F.floor(F.col("_pos") / self.tile_rows)).drop("_pos"))
         known = tiles.groupBy(*self.block).agg(
             F.max("tile").alias("_last"),
             F.count_if(F.col("_x") < float("inf")).alias("_with_x"),
         )
-        rows = asked.withColumn("_x", x).join(known, self.block, "left").filter("_last IS NOT NULL")
+        rows = cut_lineage(asked.withColumn("_x", x).join(known, self.block))
 
         home = self._rank(tiles, rows, "_at", F.coalesce(F.col("_x"), F.lit(float("-inf"))))
         home = home.withColumn("tile", F.least(F.floor(F.col("_at") / self.tile_rows), F.col("_last")))
-        near = self._nearest(home, tiles)
+        near = self._nearest(cut_lineage(home.select(*self.block, "rid", "v", "tile")), tiles)
         bound = self._bounds(near)
 
         # A bound holds only if the own tile had k donors for every missing column.
         missing = F.size(F.filter("v", lambda e: e.isNull()))
-        rows = rows.join(bound, [*self.block, "rid"], "left")
+        rows = cut_lineage(rows.join(bound, [*self.block, "rid"], "left"))
         reach = F.when(F.col("_cells") == missing, F.sqrt("_bound") * (1 + 1e-9))  # room for rounding
         low = F.coalesce(F.col("_x") - reach, F.lit(float("-inf")))
         high = F.coalesce(F.col("_x") + reach, F.lit(float("inf")))
@@ -212,7 +229,7 @@ class NeighbourImputer:
             F.when(first_without_x <= F.col("_last"), F.sequence(first_without_x, F.col("_last")))
             .otherwise(F.array().cast("array<bigint>")),
         )
-        visits = rows.select(*self.block, "rid", "v", F.explode(spans).alias("tile"))
+        visits = cut_lineage(rows.select(*self.block, "rid", "v", F.explode(spans).alias("tile")))
         near = self._nearest(visits, tiles)
         rank = Window.partitionBy(*self.block, "rid", "f").orderBy("dist", "donor")
         best = near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= self.k)
@@ -251,7 +268,10 @@ class NeighbourImputer:
 
         A tile that many rows visit is copied, so that no task gets too many visits.
         """
-        counts = visits.groupBy(*self.block, "tile").agg(F.ceil(F.count("*") / VISIT_ROWS).alias("_copies"))
+        sizes = visits.groupBy(*self.block, "tile").agg(F.count("*").alias("n"))
+        counts = sizes.withColumn("_copies", F.ceil(F.col("n") / VISIT_ROWS))
+        n_rows = counts.agg(F.sum(F.col("n") + F.col("_copies") * self.tile_rows)).first()[0] or 0
+        counts = counts.drop("n")
         parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("part")
         copies = tiles.join(counts, [*self.block, "tile"]).select(*self.block, "tile", "rid", "v", parts)
         spread = visits.join(counts, [*self.block, "tile"]).select(
@@ -260,7 +280,7 @@ class NeighbourImputer:
         keys = [*self.block, "tile", "part"]
         solve = _solve_tile(len(self.columns), self.k)
         found = self._cogroup(
-            spread, copies, keys, solve,
+            spread, copies, keys, n_rows, solve,
             T.StructField("rid", T.LongType()), T.StructField("f", T.IntegerType()),
             T.StructField("dist", T.DoubleType()), T.StructField("donor", T.LongType()),
             T.StructField("value", T.DoubleType()),
@@ -280,12 +300,14 @@ class NeighbourImputer:
 
     # -- no neighbour ----------------------------------------------------------
 
+    @cached_property
+    def _overall(self) -> list[float | None]:
+        return list(self.donors.agg(*[F.avg(F.col(f"`{c}`")) for c in self.columns]).first())
+
     def _with_means(self, df: DataFrame) -> DataFrame:
         names = {c: f"_m{i}" for i, c in enumerate(self.columns)}
-        average = [F.avg(F.col(f"`{c}`")).alias(m) for c, m in names.items()]
-        overall = self.donors.agg(*average).first()
-        means = self.donors.groupBy(*self.block).agg(*average)
-        fallback = {c: F.lit(overall[m]).cast("double") for c, m in names.items()}
+        means = self.donors.groupBy(*self.block).agg(*[F.avg(F.col(f"`{c}`")).alias(m) for c, m in names.items()])
+        fallback = {c: F.lit(v).cast("double") for c, v in zip(self.columns, self._overall)}
         return df.join(means, self.block, "left").withColumns({
             c: F.coalesce(F.col(f"`{c}`"), m, fallback[c]) for c, m in names.items()
         }).drop(*names.values())

@@ -79,11 +79,17 @@ def null_share(df: DataFrame, columns: Sequence[str], divisor: int | None = None
     return _rows_of_one_pass(df, rows).orderBy(F.desc("null_share"), "column")
 
 
-def sparse_columns(df: DataFrame, share: float = SPARSE_SHARE) -> list[str]:
-    """Columns whose nulls make up at least ``share`` of the rows."""
+def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Number of rows, and of nulls per column, in one pass."""
     nulls = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
     total, *counts = df.agg(F.count(F.lit(1)), *nulls).first()
-    return [c for c, n in zip(df.columns, counts) if n >= total * share]
+    return total, dict(zip(df.columns, counts))
+
+
+def sparse_columns(df: DataFrame, share: float = SPARSE_SHARE) -> list[str]:
+    """Columns whose nulls make up at least ``share`` of the rows."""
+    total, nulls = null_counts(df)
+    return [c for c, n in nulls.items() if n >= total * share]
 
 
 def drop_sparse(df: DataFrame, share: float = SPARSE_SHARE, keep: Sequence[str] = ()) -> DataFrame:
