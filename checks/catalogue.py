@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import features, joins, reports  # noqa: F401
+from checks import features, forecast, joins, reports, sources  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
