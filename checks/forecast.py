@@ -24,8 +24,12 @@ NAIVE = """
 
 
 def _naive(framed, *keys):
-    mean = windows.summarise(framed, ["load"])
-    return mean.select(*keys, F.round("load_mean", 4).alias("total_calories"))
+    mean = windows.summarise(framed, 1)
+    return mean.select(*keys, F.round(F.get("window_mean", F.lit(0)), 4).alias("total_calories"))
+
+
+def _loads(v):
+    return windows.feature_vector(v.history, ["load"])
 
 
 @query("m1_flat_matrix", """
@@ -37,12 +41,12 @@ def _naive(framed, *keys):
       AND h.begin_ts < date_trunc('second', s.start_time)
     WHERE s.i >= 20 GROUP BY s.activity_id""")
 def _(v):
-    framed = windows.training_windows(v.history, v.sessions, ["load"], n=20)
-    out = windows.flat_matrix(framed, ["load"], 20)
-    total = F.aggregate("x", F.lit(0.0), lambda a, e: a + e)
+    framed = windows.training_windows(_loads(v), v.sessions, ["x"], n=20)
+    out = windows.flat_matrix(framed, 1, 20)
+    total = F.aggregate("matrix", F.lit(0.0), lambda a, e: a + e)
     return out.select(
-        "activity_id", F.size("x").alias("width"), F.col("padded_rows").cast("long").alias("padded"),
-        F.round(total, 4).alias("total"), F.round(F.element_at("x", -1), 4).alias("last"),
+        "activity_id", F.size("matrix").alias("width"), F.col("padded_rows").cast("long").alias("padded"),
+        F.round(total, 4).alias("total"), F.round(F.element_at("matrix", -1), 4).alias("last"),
     )
 
 
@@ -72,8 +76,8 @@ def _(v):
     UNION ALL SELECT 'real', user_id, total_calories FROM sessions_v WHERE CAST(start_time AS DATE) = DATE '2024-01-25'""")
 def _(v):
     date = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
-    rows = windows.window_for_date(v.history, date, n=20)
-    predicted = _naive(M.collect_window(rows, ["load"]), "user_id")
+    rows = windows.window_for_date(_loads(v), date, n=20)
+    predicted = _naive(M.collect_window(rows), "user_id")
     return M.compare_for_date(predicted, v.sessions, date)
 
 
@@ -90,7 +94,7 @@ def _(v):
     UNION ALL SELECT 'reals', s.user_id, s.total_calories FROM sessions_v s JOIN c ON s.user_id = c.user_id
       AND date_trunc('second', s.start_time) >= date_trunc('second', c.since)""")
 def _(v):
-    framed = windows.windows_for_last_days(v.history, ["load"], 7, n=20)
+    framed = windows.windows_for_last_days(_loads(v), ["x"], 7, n=20)
     predicted = _naive(framed, "user_id")
     return M.compare_for_last_days(predicted, v.history, v.sessions, 7, begin="begin_ts")
 
@@ -132,7 +136,7 @@ def _(v):
 @query("m4_separate_sport_classifier")
 def _(v):
     model = _model(v)
-    sport = M._fit_sport(_matrix(v), model.session_encoder.one_hot)
+    sport = M.fit_sport_classifier(_matrix(v), model.session_encoder.one_hot)
     both = M.ForecastModel(CONFIG, model.history_encoder, model.session_encoder, {
         t: m for t, m in model.learners.items() if not t.startswith("sport_")}, sport)
     return both.predict_for_last_days(_history(v), 1)

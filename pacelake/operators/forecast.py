@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
@@ -27,6 +29,7 @@ from pacelake.schemas import MODEL_SPORTS, SESSION_STAMINA, SESSION_TIMES, WINDO
 from pacelake.session import cut_lineage
 
 USER = "user_id"
+PARALLEL_FITS = 4  # independent fits over one stored matrix
 
 
 def squared_loss() -> LinearRegression:
@@ -61,13 +64,13 @@ class Config:
 
 
 def _encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config) -> DataFrame:
-    return encoder.transform(history, keep=[cfg.begin])
+    """History rows with their encoded features as one array ``x``."""
+    encoded = encoder.transform(history, keep=[cfg.begin])
+    return windows.feature_vector(encoded, encoder.feature_columns).select(USER, cfg.history_id, cfg.begin, "x")
 
 
-def _vector(df: DataFrame, columns: Sequence[str]) -> Column:
-    parts = [f"{c}_{kind}" for c in columns for kind in ("mean", "last", "trend")]
-    cells = [F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(0.0)) for p in parts]
-    return array_to_vector(F.array(*cells))
+def _summary_vector() -> Column:
+    return array_to_vector(F.concat("window_mean", "window_last", "window_trend"))
 
 
 def training_matrix(
@@ -76,14 +79,13 @@ def training_matrix(
     """One row per session with enough history before it: ``features`` and target columns."""
     past = _encode_history(history_encoder, history, cfg)
     targets = session_encoder.transform(sessions, keep=[cfg.start])
-    columns = history_encoder.feature_columns
     framed = windows.training_windows(
-        past, targets, columns, begin=cfg.begin, row_id=cfg.history_id, start=cfg.start,
+        past, targets, ["x"], begin=cfg.begin, row_id=cfg.history_id, start=cfg.start,
         session_id=cfg.session_id, n=cfg.window_rows, mode=cfg.mode,
     )
-    out = windows.summarise(framed, columns)
+    out = windows.summarise(framed, len(history_encoder.feature_columns))
     return out.select(
-        USER, cfg.session_id, cfg.start, "session_no", "window_rows", _vector(out, columns).alias("features"),
+        USER, cfg.session_id, cfg.start, "session_no", "window_rows", _summary_vector().alias("features"),
         *[F.col(f"`{c}`") for c in session_encoder.feature_columns],
     )
 
@@ -119,9 +121,8 @@ class ForecastModel:
 
     def predict(self, windowed: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Decoded prediction for each row with a ``window``."""
-        columns = self.history_encoder.feature_columns
-        summary = windows.summarise(windowed, columns)
-        ready = summary.select(*keep, _vector(summary, columns).alias("features"))
+        summary = windows.summarise(windowed, len(self.history_encoder.feature_columns))
+        ready = summary.select(*keep, _summary_vector().alias("features"))
         return self.session_encoder.inverse_transform(self.predict_encoded(ready), keep)
 
     def predict_for_date(self, history: DataFrame, date: Column) -> DataFrame:
@@ -129,14 +130,14 @@ class ForecastModel:
         cfg = self.config
         past = _encode_history(self.history_encoder, history, cfg)
         rows = windows.window_for_date(past, date, begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows)
-        return self.predict(collect_window(rows, self.history_encoder.feature_columns), [USER])
+        return self.predict(collect_window(rows), [USER])
 
     def predict_for_last_days(self, history: DataFrame, days: int = 30) -> DataFrame:
         """Next workout seen from each of the last days before the newest history row."""
         cfg = self.config
         past = _encode_history(self.history_encoder, history, cfg)
         framed = windows.windows_for_last_days(
-            past, self.history_encoder.feature_columns, days, begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows
+            past, ["x"], days, begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows
         )
         return self.predict(framed, [USER, "days_back"])
 
@@ -170,9 +171,9 @@ class ForecastModel:
         )
 
 
-def collect_window(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def collect_window(rows: DataFrame) -> DataFrame:
     """(user, window) from rows with ``age``; at most one window of rows per athlete."""
-    item = F.struct((-F.col("age")).alias("pos"), *[F.col(f"`{c}`") for c in columns])
+    item = F.struct((-F.col("age")).alias("pos"), "x")
     return rows.groupBy(USER).agg(F.array_sort(F.collect_list(item)).alias("window"))
 
 
@@ -185,7 +186,7 @@ def _one_hot_of_index(df: DataFrame, hot: OneHot) -> DataFrame:
     return df.withColumns(out)
 
 
-def _fit_sport(matrix: DataFrame, hot: OneHot) -> LogisticRegressionModel:
+def fit_sport_classifier(matrix: DataFrame, hot: OneHot) -> LogisticRegressionModel:
     """One multinomial classifier in place of a regression per sport column."""
     found = hot.values["sport"]
     index = F.lit(0.0)  # with two sports the first has no column of its own
@@ -193,17 +194,23 @@ def _fit_sport(matrix: DataFrame, hot: OneHot) -> LogisticRegressionModel:
         index = F.when(F.col(f"`{name}`") == 1.0, F.lit(float(found.index(v)))).otherwise(index)
     labelled = matrix.select("features", index.alias("label"))
     learner = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=50, predictionCol="sport_index")
-    return learner.fit(labelled)
+    return learner.fit(cut_lineage(labelled))
 
 
-def fit_learners(matrix: DataFrame, targets: Sequence[str], learner: Callable = squared_loss) -> dict[str, Model]:
-    """One distributed fit per target column over the same rows."""
+def fit_learners(
+    matrix: DataFrame, targets: Sequence[str], learner: Callable = squared_loss, cut: bool = True
+) -> dict[str, Model]:
+    """One distributed fit per target column over the same rows, which are computed once."""
+    if cut:
+        matrix = cut_lineage(matrix)
     extra = ["held_out"] if "held_out" in matrix.columns else []
-    out = {}
-    for t in targets:
-        labelled = matrix.select("features", F.col(f"`{t}`").cast("double").alias("label"), *extra)
-        out[t] = learner().fit(labelled.filter("label IS NOT NULL"))
-    return out
+
+    def fit(target: str) -> Model:
+        labelled = matrix.select("features", F.col(f"`{target}`").cast("double").alias("label"), *extra)
+        return learner().fit(labelled.filter("label IS NOT NULL"))
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return dict(zip(targets, pool.map(inheritable_thread_target(fit), targets)))
 
 
 def train(
@@ -222,10 +229,10 @@ def train(
     sport_learner = None
     if cfg.classify_sport and len(session_encoder.one_hot.values.get("sport", [])) > 1:
         sport_columns = set(session_encoder.one_hot.names("sport"))
-        sport_learner = _fit_sport(matrix, session_encoder.one_hot)
+        sport_learner = fit_sport_classifier(matrix, session_encoder.one_hot)
         targets = [t for t in targets if t not in sport_columns]
     return ForecastModel(
-        cfg, history_encoder, session_encoder, fit_learners(matrix, targets, learner), sport_learner
+        cfg, history_encoder, session_encoder, fit_learners(matrix, targets, learner, cut=False), sport_learner
     )
 
 

@@ -63,21 +63,15 @@ def count_before(
 
     Union and running count instead of a range join. At equal times the anchor sorts first.
     """
-    extra = [c for c in anchors.columns if c != USER]
     rows = history.select(
-        USER, F.col(begin).alias("_t"), F.lit(1).alias("_is_row"),
-        F.col(row_id).cast("string").alias("_id"),
+        USER, F.col(begin).alias("_t"), F.lit(1).cast("long").alias("_is_row"), F.col(row_id).alias("_id")
     )
-    marks = anchors.select(
-        USER, F.col(at).alias("_t"), F.lit(0).alias("_is_row"),
-        F.xxhash64(*extra).cast("string").alias("_id"), F.struct(*extra).alias("_anchor"),
-    )
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    marks = anchors.withColumns({"_t": F.col(at), "_is_row": F.lit(0).cast("long")})
+    both = marks.unionByName(rows, allowMissingColumns=True)
     counted = running_sum(
-        both, [USER], ["_t", "_is_row", "_id"], F.col("_is_row").cast("long"), "n_before",
-        max_group_rows,
+        both, [USER], ["_t", "_is_row", "_id"], F.col("_is_row"), "n_before", max_group_rows
     )
-    return counted.filter("_is_row = 0").select(USER, "_anchor.*", "n_before")
+    return counted.filter("_is_row = 0").select(*anchors.columns, "n_before")
 
 
 def training_windows(
@@ -164,33 +158,46 @@ def windows_for_last_days(history: DataFrame, columns: Sequence[str], days: int
     return windows_for_anchors(history, anchors, columns, **kw)
 
 
-def summarise(df: DataFrame, columns: Sequence[str], window: str = "window") -> DataFrame:
-    """Per window: rows, and mean, last value and trend of each column.
+def feature_vector(df: DataFrame, columns: Sequence[str], name: str = "x") -> DataFrame:
+    """Add the feature columns as one array; a missing cell counts as 0, as padding does."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]
+    return df.withColumn(name, F.array(*cells))
+
+
+def _sum(rows: Column, width: int) -> Column:
+    zero = F.array_repeat(F.lit(0.0), width)
+    return F.aggregate(rows, zero, lambda total, r: F.zip_with(total, r["x"], lambda a, b: a + b))
+
+
+def summarise(df: DataFrame, width: int, window: str = "window") -> DataFrame:
+    """Per window of rows with a feature array ``x``: row count, and arrays with the mean,
+    the last value and the trend of each feature.
 
     The trend is the mean of the newer half minus the mean of the older half. An empty
-    window gives 0, as padding does.
+    window gives 0.
     """
-    out = {"window_rows": F.size(window)}
-    half = F.floor(F.size(window) / 2).cast("int")
-    older, newer = F.slice(window, 1, half), F.slice(window, half + 1, F.size(window))
-    for c in columns:
-        out[f"{c}_mean"] = _mean(window, c)
-        out[f"{c}_last"] = F.coalesce(F.get(F.col(window), F.size(window) - 1)[c], F.lit(0.0))
-        out[f"{c}_trend"] = _mean(newer, c) - _mean(older, c)
-    return df.withColumns(out)
-
-
-def _mean(rows: Column | str, field: str) -> Column:
-    values = F.filter(F.transform(rows, lambda r: r[field]), lambda v: v.isNotNull())
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
-
-
-def flat_matrix(df: DataFrame, columns: Sequence[str], n: int, window: str = "window") -> DataFrame:
-    """Add ``x``: n times F numbers, oldest row first, short windows padded with 0 in front."""
-    width = len(columns)
-    cells = F.flatten(
-        F.transform(window, lambda r: F.array(*[F.coalesce(r[c], F.lit(0.0)) for c in columns]))
-    )
-    pad = F.array_repeat(F.lit(0.0), (F.lit(n) - F.size(window)) * width)
-    return df.withColumn("x", F.concat(pad, cells)).withColumn("padded_rows", F.lit(n) - F.size(window))
+    rows, half = F.size(window), F.floor(F.size(window) / 2).cast("int")
+    sums = df.withColumns({
+        "window_rows": rows,
+        "_older": _sum(F.slice(window, 1, half), width),
+        "_newer": _sum(F.slice(window, half + 1, rows), width),
+    })
+    n_old = F.floor(F.col("window_rows") / 2)
+    n_new = F.greatest(F.col("window_rows") - n_old, F.lit(1))
+    n_old, n = F.greatest(n_old, F.lit(1)), F.greatest("window_rows", F.lit(1))
+    return sums.withColumns({
+        "window_mean": F.zip_with("_older", "_newer", lambda a, b: (a + b) / n),
+        "window_last": F.coalesce(
+            F.get(F.col(window), F.size(window) - 1)["x"], F.array_repeat(F.lit(0.0), width)
+        ),
+        "window_trend": F.zip_with("_older", "_newer", lambda a, b: b / n_new - a / n_old),
+    }).drop("_older", "_newer")
+
+
+def flat_matrix(df: DataFrame, width: int, n: int, window: str = "window") -> DataFrame:
+    """Add ``matrix``: n times ``width`` numbers, oldest row first, short windows padded
+    with 0 in front."""
+    cells = F.flatten(F.transform(window, lambda r: r["x"]))
+    short = F.lit(n) - F.size(window)
+    pad = F.array_repeat(F.lit(0.0), short * width)
+    return df.withColumns({"matrix": F.concat(pad, cells), "padded_rows": short})

@@ -32,7 +32,10 @@ def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, database:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header; times keep their microseconds."""
+    writer = df.write.mode("overwrite").option("header", True)
+    writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
 
 
 def table_to_csv(spark: SparkSession, table: str, path: str, casts: dict[str, str] | None = None) -> None:
