@@ -36,64 +36,89 @@ def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
     return rows[[f"v{i}" for i in range(width)]].to_numpy(dtype="float64")
 
 
-def _neighbours(rows: np.ndarray, donors: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, column, squared distances, donors) of the k nearest; donors come sorted by id."""
-    width = rows.shape[1]
-    has = ~np.isnan(donors)
+def _distances(rows: np.ndarray, donors: np.ndarray) -> np.ndarray:
+    """Squared distances over shared columns, scaled by all / shared; inf if none is shared."""
+    total = np.zeros((len(rows), len(donors)))
+    shared = np.zeros_like(total)
+    for f in range(rows.shape[1]):
+        gap = rows[:, f, None] - donors[None, :, f]
+        known = ~np.isnan(gap)
+        total += np.where(known, gap * gap, 0.0)
+        shared += known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, total * rows.shape[1] / shared, np.inf)
+
+
+def _smallest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite entries per row; on a tie the lower column."""
+    k = min(k, dist.shape[1])
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
+    order = np.lexsort((col, dist[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], col[rank < k]
+
+
+def _neighbours(rows: np.ndarray, donors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, rows, donors, squared distances), one entry per row lacking the column and
+    each of its k nearest donors; donors come sorted by id."""
     for low in range(0, len(rows), _STEP):
         part = rows[low:low + _STEP]
-        total = np.zeros((len(part), len(donors)))
-        shared = np.zeros_like(total)
-        for f in range(width):
-            gap = part[:, f, None] - donors[None, :, f]
-            known = ~np.isnan(gap)
-            total += np.where(known, gap * gap, 0.0)
-            shared += known
+        dist = _distances(part, donors)
+        for f in range(rows.shape[1]):
+            lacking = np.flatnonzero(np.isnan(part[:, f]))
+            having = np.flatnonzero(~np.isnan(donors[:, f]))
+            if len(lacking) and len(having):
+                sub = dist[np.ix_(lacking, having)]
+                r, d = _smallest(sub, k)
+                yield f, low + lacking[r], having[d], sub[r, d]
+
+
+def _groups(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of both sides for each key of the first."""
+    donors = b.groupby([f"d_{k}" for k in keys], sort=False).indices
+    none = np.array([], dtype="int64")
+    for key, at in a.groupby(keys, sort=False).indices.items():
+        yield at, donors.get(key, none)
+
+
+def _fill_blocks(keys: list[str], width: int, k: int):
+    """Athletes that fit one task: filled values of their incomplete rows."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rid")
+        need, have = _matrix(a, width), _matrix(b, width)
+        total, count = np.zeros_like(need), np.zeros_like(need)
+        for at, donors in _groups(a, b, keys):
+            for f, row, donor, _ in _neighbours(need[at], have[donors], k):
+                np.add.at(total[:, f], at[row], have[donors[donor], f])
+                np.add.at(count[:, f], at[row], 1.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(shared > 0, total * width / shared, np.inf)
-        order = np.argsort(dist, axis=1, kind="stable")
-        for i in range(len(part)):
-            ranked = order[i]
-            ranked = ranked[np.isfinite(dist[i, ranked])]
-            for f in np.flatnonzero(np.isnan(part[i])):
-                best = ranked[has[ranked, f]][:k]
-                yield low + i, f, dist[i, best], best
-
-
-def _solve_block(width: int, k: int):
-    """Whole athlete in one task: filled values of the incomplete rows."""
-
-    def solve(rows: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        need, have = _matrix(rows, width), _matrix(donors, width)
-        filled = need.copy()
-        for i, f, _, best in _neighbours(need, have, k):
-            if len(best):
-                filled[i, f] = have[best, f].mean()
-        out = pd.DataFrame(filled, columns=[f"v{i}" for i in range(width)])
-        out.insert(0, "rid", rows["rid"].to_numpy())
-        return out
-
-    return solve
-
-
-def _solve_tile(width: int, k: int):
-    """Nearest donors of one tile for the rows that visit it."""
-
-    def solve(visits: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        out = {"rid": [], "f": [], "dist": [], "donor": [], "value": []}
-        if len(visits) and len(donors):
-            need, have = _matrix(visits, width), _matrix(donors, width)
-            rid, did = visits["rid"].to_numpy(), donors["rid"].to_numpy()
-            for i, f, dist, best in _neighbours(need, have, k):
-                out["rid"].extend([rid[i]] * len(best))
-                out["f"].extend([int(f)] * len(best))
-                out["dist"].extend(dist)
-                out["donor"].extend(did[best])
-                out["value"].extend(have[best, f])
-        types = {"rid": "int64", "f": "int32", "dist": "float64", "donor": "int64", "value": "float64"}
-        return pd.DataFrame(out).astype(types)
-
-    return solve
+            filled = np.where(np.isnan(need), total / count, need)
+        out = a[[*keys, "rid"]].reset_index(drop=True)
+        return out.join(pd.DataFrame(filled, columns=[f"v{i}" for i in range(width)]))
+
+    return run
+
+
+def _search_tiles(keys: list[str], width: int, k: int):
+    """Nearest donors of a tile for each row that visits it, one output row each."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rid")
+        need, have = _matrix(a, width), _matrix(b, width)
+        ids = b["rid"].to_numpy()
+        parts = [(np.array([], "int64"), np.array([], "int32"), np.array([]), np.array([], "int64"), np.array([]))]
+        for at, donors in _groups(a, b, keys):
+            for f, row, donor, dist in _neighbours(need[at], have[donors], k):
+                found = donors[donor]
+                parts.append((at[row], np.full(len(row), f, "int32"), dist, ids[found], have[found, f]))
+        row, f, dist, donor, value = (np.concatenate(x) for x in zip(*parts))
+        out = a[[*keys, "rid"]].take(row).reset_index(drop=True)
+        return out.assign(f=f, dist=dist, donor=donor, value=value)
+
+    return run
 
 
 @dataclass
@@ -128,34 +153,20 @@ class NeighbourImputer:
         return df.select(*[F.col(c).alias(prefix + c) for c in columns], "rid", *cells)
 
     def _cogroup(
-        self, left: DataFrame, right: DataFrame, keys: list[str], n_rows: int, solve, *fields: T.StructField
+        self, left: DataFrame, right: DataFrame, keys: list[str], n_rows: int, run, *fields: T.StructField
     ) -> DataFrame:
-        """``solve`` on the rows and the donors of each group, key columns put back.
+        """``run`` on batches of whole groups of rows and donors.
 
         Groups are bounded but often tiny, so Python gets them by batches of about
         ``BATCH_ROWS`` rows; ``n_rows`` is the rough size of both sides.
         """
-        donor_keys = [f"d_{k}" for k in keys]
         batches = max(left.sparkSession.sparkContext.defaultParallelism, n_rows // BATCH_ROWS)
         rows = self._cells(left, *keys).withColumn("batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
         donors = self._cells(right, *keys, prefix="d_").withColumn(
-            "d_batch", F.pmod(F.xxhash64(*donor_keys), F.lit(batches))
+            "d_batch", F.pmod(F.xxhash64(*[f"d_{k}" for k in keys]), F.lit(batches))
         )
         schema = T.StructType([rows.schema[k] for k in keys] + list(fields))
-
-        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("rid")
-            by_key = b.groupby(donor_keys, sort=False).indices
-            out = []
-            for key, at in a.groupby(keys, sort=False).indices.items():
-                part = solve(a.take(at), b.take(by_key.get(key, [])))
-                for i, name in enumerate(keys):
-                    part.insert(i, name, key[i] if isinstance(key, tuple) else key)
-                out.append(part)
-            return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
-
-        pairs = rows.groupBy("batch").cogroup(donors.groupBy("d_batch"))
-        return pairs.applyInPandas(run, schema)
+        return rows.groupBy("batch").cogroup(donors.groupBy("d_batch")).applyInPandas(run, schema)
 
     # -- nearest rows --------------------------------------------------------
 
@@ -183,8 +194,8 @@ class NeighbourImputer:
 
     def _solve_small(self, need: DataFrame, donors: DataFrame, n_rows: int) -> DataFrame:
         cells = [T.StructField(f"v{i}", T.DoubleType()) for i in range(len(self.columns))]
-        solve = _solve_block(len(self.columns), self.k)
-        return self._cogroup(need, donors, self.block, n_rows, solve, T.StructField("rid", T.LongType()), *cells)
+        run = _fill_blocks(self.block, len(self.columns), self.k)
+        return self._cogroup(need, donors, self.block, n_rows, run, T.StructField("rid", T.LongType()), *cells)
 
     # -- athletes too large for one task --------------------------------------
 
@@ -278,9 +289,9 @@ class NeighbourImputer:
             *self.block, "tile", "rid", "v", F.pmod(F.xxhash64("rid"), F.col("_copies")).alias("part")
         )
         keys = [*self.block, "tile", "part"]
-        solve = _solve_tile(len(self.columns), self.k)
+        run = _search_tiles(keys, len(self.columns), self.k)
         found = self._cogroup(
-            spread, copies, keys, n_rows, solve,
+            spread, copies, keys, n_rows, run,
             T.StructField("rid", T.LongType()), T.StructField("f", T.IntegerType()),
             T.StructField("dist", T.DoubleType()), T.StructField("donor", T.LongType()),
             T.StructField("value", T.DoubleType()),
