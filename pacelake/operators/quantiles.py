@@ -27,6 +27,7 @@ class _Target:
     high: float
     below: int = 0
     inside: int = 0
+    missed: int = 0
     value: float | None = None
 
     @property
@@ -61,28 +62,26 @@ def exact_quantiles(
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in names.items()}
     known = {c: counts[i] for i, c in names.items() if counts[i]}
     targets = _first_brackets(df, known, probs)
-    _narrow(df, known, targets, max_values)
+    _narrow(df, targets, max_values)
     found = {(t.column, t.prob): t.value for t in targets}
     return {c: [found.get((c, p)) for p in probs] for c in columns}
 
 
-def _around(fraction: float) -> list[float]:
-    return [max(0.0, fraction - 2 / ACCURACY), min(1.0, fraction + 2 / ACCURACY)]
-
-
-def _sketch(c: Column, fraction: float) -> Column:
-    return F.percentile_approx(c, _around(fraction), ACCURACY)
+def _sketch(c: Column, fraction: float, rows: int, missed: int = 0) -> Column:
+    """Bracket by twice the sketch's error plus two ranks; wider after each miss."""
+    margin = (2 / ACCURACY + 2 / rows) * 2**missed
+    return F.percentile_approx(c, [max(0.0, fraction - margin), min(1.0, fraction + margin)], ACCURACY)
 
 
 def _first_brackets(df: DataFrame, known: dict[str, int], probs: list[float]) -> list[_Target]:
     wanted = [(c, p) for c in known for p in probs]
-    row = df.agg(*[_sketch(F.col(c), p).alias(f"b{i}") for i, (c, p) in enumerate(wanted)]).first()
+    row = df.agg(*[_sketch(F.col(c), p, known[c]).alias(f"b{i}") for i, (c, p) in enumerate(wanted)]).first()
     return [
         _Target(c, p, p * (known[c] - 1), *row[i]) for i, (c, p) in enumerate(wanted)
     ]
 
 
-def _narrow(df: DataFrame, known: dict[str, int], targets: list[_Target], max_values: int) -> None:
+def _narrow(df: DataFrame, targets: list[_Target], max_values: int) -> None:
     open_targets = targets
     while open_targets:
         counted = df.agg(*[
@@ -106,6 +105,7 @@ def _narrow(df: DataFrame, known: dict[str, int], targets: list[_Target], max_va
             else:
                 narrow.append(t)
         for t in widen:  # the sketch missed; start again from the open side
+            t.missed += 1
             if t.below > math.floor(t.rank):
                 t.low = -math.inf
             if math.ceil(t.rank) > t.below + t.inside - 1:
@@ -119,7 +119,7 @@ def _narrow(df: DataFrame, known: dict[str, int], targets: list[_Target], max_va
                 t.value = row[i]
         if narrow:
             row = df.agg(*[
-                _sketch(F.when(t.span, F.col(t.column)), t.local).alias(f"b{i}")
+                _sketch(F.when(t.span, F.col(t.column)), t.local, t.inside, t.missed).alias(f"b{i}")
                 for i, t in enumerate(narrow)
             ]).first()
             for i, t in enumerate(narrow):
