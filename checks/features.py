@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from pacelake.operators import features as X, profile
 from pacelake.operators.impute import fit_neighbour_imputer
 from pacelake.schemas import BENEFIT_LABELS
+from pacelake.session import scratch_dir
 
 COLUMNS = ["total_distance", "enhanced_avg_speed", "avg_heart_rate", "avg_cadence", "max_heart_rate", "total_calories"]
 LABELS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in BENEFIT_LABELS.items())
@@ -220,7 +223,7 @@ def _(v):
         "distance", "avgSpeed", "maxSpeed", "sportType_purchase", "beginTimestamp_sin")])
 
 
-@query("f13_session_encoder", f"""
+F13 = f"""
     WITH f AS (SELECT activity_id, coalesce(enhanced_avg_speed, 0.0) AS a,
         coalesce(enhanced_max_speed, enhanced_avg_speed, 0.0) AS m, coalesce(stamina_begin, 100.0) AS s, max_heart_rate AS h,
         CASE CAST(coalesce(benefit, 0) AS INT) {LABELS} END AS label, avg_heart_rate, sport FROM sessions_v),
@@ -228,16 +231,30 @@ def _(v):
     SELECT activity_id, round((a - a50) / ar, 6) AS enhanced_avg_speed, round((m - m50) / mr, 6) AS enhanced_max_speed,
       round((s - s50) / sr, 6) AS stamina, round((h - h50) / hr, 6) AS max_heart_rate,
       CASE WHEN label = 'Tempo' THEN 1.0 ELSE 0.0 END AS tempo, CASE WHEN sport = 'walking' THEN 1.0 ELSE 0.0 END AS walking,
-      CAST(avg_heart_rate IS NULL AS DOUBLE) AS missing_avg_heart_rate FROM f, q""")
-def _(v):
-    sessions = _named(v)
-    out = X.fit_session_encoder(sessions, "activity_id").transform(sessions)
+      CAST(avg_heart_rate IS NULL AS DOUBLE) AS missing_avg_heart_rate FROM f, q"""
+
+
+def _session_columns(out):
     return out.select("activity_id", *[F.round(F.col(c), 6).alias(n) for c, n in (
         ("enhanced_avg_speed", "enhanced_avg_speed"), ("enhanced_max_speed", "enhanced_max_speed"),
         ("205", "stamina"), ("max_heart_rate", "max_heart_rate"), ("188_Tempo", "tempo"),
         ("sport_walking", "walking"), ("missing_avg_heart_rate", "missing_avg_heart_rate"))])
 
 
+@query("f13_session_encoder", F13)
+def _(v):
+    sessions = _named(v)
+    return _session_columns(X.fit_session_encoder(sessions, "activity_id").transform(sessions))
+
+
+@query("f16_stored_session_encoder", F13)
+def _(v):
+    sessions = _named(v)
+    path = f"{scratch_dir(v.spark)}/encoder-{uuid.uuid4().hex}"
+    X.fit_session_encoder(sessions, "activity_id").save(path, v.spark)
+    return _session_columns(X.EncoderModel.load(path, v.spark).transform(sessions))
+
+
 @query("f14_inverse_session_encoder", f"""
     SELECT activity_id, round(coalesce(enhanced_avg_speed, 0.0), 6) AS enhanced_avg_speed, max_heart_rate, sport,
       CASE CAST(coalesce(benefit, 0) AS INT) {LABELS} END AS benefit,

@@ -284,6 +284,14 @@ def _(v):
     return out.select("seq", "heart_rate", "power", "stance_time")
 
 
+@query("s13_wide_session_messages", """
+    SELECT seq, activity_id, CAST(NULL AS DOUBLE) AS avg_vam, CAST(NULL AS VARCHAR) AS sport
+    FROM messages_v WHERE mesg = 'SESSION'""")
+def _(v):
+    out = messages.all_sessions(_messages(v), wide=True)
+    return out.select("seq", "activity_id", "avg_vam", "sport")
+
+
 @query("s15_all_sessions", "SELECT activity_id, count(*) AS sessions FROM messages_v WHERE mesg = 'SESSION' GROUP BY 1")
 def _(v):
     return messages.all_sessions(_messages(v)).groupBy("activity_id").agg(F.count("*").alias("sessions"))

@@ -129,3 +129,37 @@ def _(v):
         "user_id", "calendarDate", "row_id", "hydration_sweatLossInML", "bodyBattery_Highest", "bodyBattery_Lowest",
         "allDayStress_awake",
     )
+
+
+@query("s4_s5_table_round_trip", """
+    SELECT user_id, activity_id, start_time AS start_time, sport FROM sessions_v""")
+def _(v):
+    table = f"sessions_{uuid.uuid4().hex}"
+    text = v.sessions.select("user_id", "activity_id", F.col("start_time").cast("string").alias("start_time"), "sport")
+    sinks.save_table(text, table, buckets=8, path=_folder(v))
+    return readers.load_table(v.spark, table, {"start_time": "timestamp_ntz"})
+
+
+@query("s6_s7_table_and_csv", "SELECT row_id, distance, avg_speed FROM workouts_v")
+def _(v):
+    df = v.workouts.select("row_id", "distance", "avg_speed")
+    table, stem = f"workouts_{uuid.uuid4().hex}", f"visits_{uuid.uuid4().hex}"
+    sinks.save_table(df, table, path=_folder(v))
+    path = f"{_folder(v)}/{stem}.csv"
+    sinks.table_to_csv(v.spark, table, path)
+    return v.spark.table(sinks.csv_to_table(v.spark, path, df.schema, table_path=_folder(v)))
+
+
+@query("s11_history_from_exports", """
+    SELECT s.user_id, s.calendar_date AS "calendarDate", s.start_sleep, date_trunc('milliseconds', w.begin_ts) AS "beginTimestamp",
+      w.distance FROM sleep_v s JOIN workouts_v w ON s.user_id = w.user_id AND s.calendar_date = w.calendar_date
+    WHERE w.row_id % 5 <> 0""")
+def _(v):
+    """No table and no CSV, so the raw exports are merged; nights without workout drop out."""
+    sleep, workouts, daily = _folder(v), _folder(v), _folder(v)
+    _sleep_export(v).write.json(sleep)
+    _workout_export(v).write.json(workouts)
+    v.daily.select("user_id", F.col("calendar_date").cast("string").alias("calendarDate")).write.json(daily)
+    raw = {"sleep": sleep, "workouts": workouts, "daily": daily, "multi_line": False}
+    out = readers.load_history(v.spark, table=f"none_{uuid.uuid4().hex}", csv=f"{sleep}/none.csv", raw=raw)
+    return out.select("user_id", "calendarDate", "start_sleep", "beginTimestamp", "distance")

@@ -9,25 +9,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pacelake.sources.readers import load_table, read_csv
 
 
-def save_table(df: DataFrame, table: str, buckets: int = 0) -> None:
+def save_table(df: DataFrame, table: str, buckets: int = 0, path: str | None = None) -> None:
     """Create the schema if missing and replace the table.
 
     With ``buckets``, rows are bucketed by athlete, so later windows and joins on the
-    athlete need no shuffle.
+    athlete need no shuffle. ``path`` puts the files there instead of the warehouse.
     """
     if "." in table:
         df.sparkSession.sql(f"CREATE SCHEMA IF NOT EXISTS {table.rsplit('.', 1)[0]}")
     writer = df.write.mode("overwrite")
     if buckets:
         writer = writer.bucketBy(buckets, "user_id")
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(table)
 
 
-def csv_to_table(spark: SparkSession, path: str, schema: T.StructType, database: str | None = None) -> str:
+def csv_to_table(
+    spark: SparkSession, path: str, schema: T.StructType, database: str | None = None, table_path: str | None = None
+) -> str:
     """CSV to a table named after the file stem."""
     name = PurePosixPath(path.rstrip("/")).stem
     table = f"{database}.{name}" if database else name
-    save_table(read_csv(spark, path, schema), table)
+    save_table(read_csv(spark, path, schema), table, path=table_path)
     return table
 
 
