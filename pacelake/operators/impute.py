@@ -258,10 +258,10 @@ class NeighbourImputer:
         ])
 
     def _axis(self, donors: DataFrame) -> int:
-        """The feature that splits best: known in many rows, with many values."""
-        width = range(len(self.columns))
-        row = donors.agg(*[F.approx_count_distinct(F.get("v", F.lit(i))) for i in width]).first()
-        return max(width, key=lambda i: row[i])
+        """The feature that separates best: widely spread and known in many rows."""
+        cells = [F.get("v", F.lit(i)) for i in range(len(self.columns))]
+        row = donors.agg(*[F.coalesce(F.stddev_pop(c) * F.count(c), F.lit(0.0)) for c in cells]).first()
+        return max(range(len(cells)), key=lambda i: row[i])
 
     def _rank(self, tiles: DataFrame, rows: DataFrame, name: str, at, inclusive: bool = False) -> DataFrame:
         """Add the number of donors of the block with x below (or up to) ``at``."""
