@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,7 @@ def build_session(app: str = "pacelake", master: str | None = None, **conf) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -51,6 +55,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again.
+
+    Like a checkpoint it survives lost executors, but it is columnar and compressed, and later
+    readers fetch only the columns they need.
+    """
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per session.
+
+    Workers need not run in the repository's folder or have it installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pacelake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pacelake-"), "pacelake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._pacelake_shipped = True
+
+
 def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; never reads more than that plus one."""
     return df.limit(rows + 1).count() <= rows
