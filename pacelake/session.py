@@ -55,15 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Like a checkpoint it survives lost executors, but it is columnar and compressed, and later
     readers fetch only the columns they need.
     """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
