@@ -28,17 +28,19 @@ from pyspark.sql import types as T
 from pacelake.llm.common import slices
 from pacelake.llm.pieces import cut_pieces, gather
 
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 150_000
 """Merged pieces that one worker remembers at most."""
 
-ROUND_PIECES = 20_000
+ROUND_PIECES = 10_000
 """Pieces of one recursive query."""
 
 LONG_PIECE = 128
 """Longer pieces, in bytes, are contracted query by query, all occurrences of a pair at once,
 so that a run of a million letters needs neither a million rounds nor all its earlier states."""
 
-SLICE_TOKENS = 1_000_000
+SLICE_CHARS = 1_500_000
+SLICE_TOKENS = 300_000
+"""What a task encodes or decodes at once; a task may run both steps side by side."""
 
 CONTRACT = """
 WITH RECURSIVE step(w, p, t, q, n, i) AS (
@@ -96,6 +98,18 @@ class Coder:
         self.ranks = read_ranks(path)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known: dict[bytes, bytes] = {}
+        self.db = duckdb.connect(config={
+            "threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir() + "/bpe-spill",
+        })
+        self._keep("vocabulary", pa.table({
+            "t": pa.array(list(self.ranks.values()), pa.int32()),
+            # One character a byte: single tokens need not be valid UTF-8.
+            "chars": pa.array([token.decode("latin-1") for token in self.ranks]),
+        }))
+
+    @functools.cached_property
+    def merges(self) -> int:
+        """Fills the merge table when it is first needed; the number of its rows."""
         splits = [
             (self.ranks[token[:i]], self.ranks[token[i:]], rank)
             for token, rank in self.ranks.items()
@@ -103,17 +117,10 @@ class Coder:
             if token[:i] in self.ranks and token[i:] in self.ranks
         ]
         left, right, merged = ([split[k] for split in splits] for k in range(3))
-        self.db = duckdb.connect(config={
-            "threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir() + "/bpe-spill",
-        })
         self._keep("merges", pa.table({
             "l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32()),
         }))
-        self._keep("vocabulary", pa.table({
-            "t": pa.array(list(self.ranks.values()), pa.int32()),
-            # One character a byte: single tokens need not be valid UTF-8.
-            "chars": pa.array([token.decode("latin-1") for token in self.ranks]),
-        }))
+        return len(splits)
 
     def _keep(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -121,6 +128,7 @@ class Coder:
         self.db.unregister("given")
 
     def _contract(self, pieces: list[bytes]) -> list[bytes]:
+        assert self.merges >= 0
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         begins = np.cumsum(lengths) - lengths
         self.db.register("pieces", pa.table({
@@ -135,6 +143,7 @@ class Coder:
         return [ids[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
 
     def _contract_long(self, piece: bytes) -> bytes:
+        assert self.merges >= 0
         tokens = self.bytes[np.frombuffer(piece, dtype=np.uint8)]
         self._keep("long_piece", pa.table({"p": np.arange(len(tokens), dtype=np.int64), "t": tokens}))
         count = len(tokens)
@@ -211,7 +220,7 @@ def encode(docs: DataFrame, text_col: str, ranks_path: str) -> DataFrame:
         for batch in batches:
             text = batch.column(text_col)
             sizes = [len(x) if x is not None else 0 for x in text.to_pylist()]
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, SLICE_CHARS):
                 part = batch.slice(a, b - a)
                 texts = [x or "" for x in part.column(text_col).to_pylist()]
                 columns = {name: part.column(name) for name in names}
