@@ -83,9 +83,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE
-    ]
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE]
     return found.select(
         "doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"),
