@@ -289,7 +289,7 @@ def test_neighbours_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     bad = [(-1, None), (-2, [0.0] * 64), (-3, [float("nan")] * 64), (-4, [1.0]), (None, [1.0] * 64), (-6, [None] * 64)]
     table = table.unionByName(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
-    copies = table.filter("vec_id = 100").select(F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 19))).cast("long").alias("vec_id"), "embedding")
+    copies = table.filter("vec_id = 100").select(F.explode(F.sequence(F.lit(10**6).cast("long"), F.lit(10**6 + 19).cast("long"))).alias("vec_id"), "embedding")
     table = table.unionByName(copies)
     rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in table.collect() if r.vec_id is not None and (r.vec_id >= 0)]
     matrix, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
@@ -317,7 +317,7 @@ def test_classifier_held_out(spark):
 
 
 def test_frequent_lines_go(spark):
-    rows = [(n, f"boiler plate line {n}\nown words number {n} " + " ".join(f"w{n}x{i}" for i in range(12 if n else 1)), "h") for n in range(40)]
+    rows = [(n, f"boiler plate line {n}\nown words are " + " ".join(chr(97 + n % 26) * (2 + n // 26) + chr(97 + i) for i in range(12 if n else 1)), "h") for n in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r for r in quality_rules.quality_rules(df, min_docs=10).collect()}
     assert found[1].kept and found[1].kept_words == found[1].n_words - 4 and not found[0].kept
