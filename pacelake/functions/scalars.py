@@ -154,7 +154,9 @@ def sleep_hours(*phases: Column | str) -> Column:
 
 
 def whole_second(c: Column | str) -> Column:
-    return F.date_trunc("second", as_col(c)).cast("timestamp_ntz")
+    """Without its fraction; a time without a zone is not taken through the session's zone."""
+    local = as_col(c).cast("timestamp_ntz")
+    return local - F.make_dt_interval(secs=F.extract(F.lit("SECONDS"), local) % 1)
 
 
 def time_text(c: Column | str) -> Column:

@@ -259,9 +259,24 @@ def train_and_save(spark: SparkSession, history: DataFrame, sessions: DataFrame,
 # -- comparison ---------------------------------------------------------------------------
 
 
-def _readable(sessions: DataFrame, columns: Sequence[str], times: Sequence[str]) -> DataFrame:
-    text = {c: S.time_text(c) for c in times if c in columns}
-    return sessions.withColumns(text).select(*[F.col(f"`{c}`") for c in columns])
+BENEFIT = "188"
+
+
+def _readable(sessions: DataFrame, predicted: DataFrame, times: Sequence[str]) -> DataFrame:
+    """Real sessions with the columns and types of the prediction; codes become labels as there."""
+    have = set(sessions.columns)
+
+    def shown(name: str, kind: str) -> Column:
+        column = F.col(f"`{name}`")
+        if name not in have:
+            return F.lit(None).cast(kind).alias(name)
+        if name in times:
+            column = S.time_text(column)
+        elif name == BENEFIT and kind == "string":
+            column = S.benefit_text(column)
+        return column.cast(kind).alias(name)
+
+    return sessions.select(*[shown(name, kind) for name, kind in predicted.dtypes])
 
 
 def compare_for_date(
@@ -270,7 +285,7 @@ def compare_for_date(
 ) -> DataFrame:
     """Prediction beside the real sessions of that calendar day, if there were any."""
     real = sessions.filter(F.to_date(start) == F.to_date(date))
-    return tag_union(prediction=predicted, real=_readable(real, predicted.columns, times))
+    return tag_union(prediction=predicted, real=_readable(real, predicted, times))
 
 
 def compare_for_last_days(
@@ -288,7 +303,7 @@ def compare_for_last_days(
     older = history.select(USER, begin).join(limits, USER)
     since = newest_time(older, [USER], begin, F.col("_limit")).select(USER, S.whole_second("newest").alias("_since"))
     real = sessions.join(since, USER).filter(S.whole_second(start) >= F.col("_since")).drop("_since")
-    return tag_union(predictions=predicted, reals=_readable(real, predicted.columns, times))
+    return tag_union(predictions=predicted, reals=_readable(real, predicted, times))
 
 
 def per_model(models: dict[str, ForecastModel], history: DataFrame) -> DataFrame:
