@@ -33,9 +33,12 @@ from pacelake.llm.pieces import cut_pieces, gather
 from pacelake.operators.ordering import running_sum
 from pacelake.session import staged
 
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 150_000
 """Encoded pieces that one worker remembers at most."""
 
+SLICE_CHARS = 1_500_000
+"""Text that a task encodes at once."""
+
 
 def byte_characters() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if it is printable
@@ -92,7 +95,7 @@ def token_pieces(docs: DataFrame, text_col: str, tokenizer_path: str, end_id: in
         coder = encoder(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            for a, b in slices(map(len, texts)):
+            for a, b in slices(map(len, texts), SLICE_CHARS):
                 ids, begins = coder.encode(texts[a:b])
                 sizes = np.diff(begins) + 1
                 # One end token behind the ids of each document.
