@@ -163,3 +163,46 @@ def _(v):
     raw = {"sleep": sleep, "workouts": workouts, "daily": daily, "multi_line": False}
     out = readers.load_history(v.spark, table=f"none_{uuid.uuid4().hex}", csv=f"{sleep}/none.csv", raw=raw)
     return out.select("user_id", "calendarDate", "start_sleep", "beginTimestamp", "distance")
+
+
+@query("s3_csv_by_name", """
+    SELECT activity_id, start_time, sport, total_distance, activity_id % 7 AS lap FROM sessions_v""")
+def _(v):
+    """A header in another order than the schema, and a column the schema does not know."""
+    df = v.sessions.select("activity_id", "start_time", "sport", "total_distance")
+    path = _folder(v)
+    lap = (F.col("activity_id") % 7).alias("lap")
+    sinks.write_csv(v.sessions.select("total_distance", lap, "sport", "activity_id", "start_time"), path)
+    return readers.read_csv(v.spark, path, df.schema).withColumn("lap", F.col("lap").cast("long"))
+
+
+@query("s4_nan_to_null", """
+    SELECT row_id, CASE WHEN row_id % 3 <> 0 THEN distance END AS distance, avg_speed FROM workouts_v""")
+def _(v):
+    """NaN in a stored table reads as NULL."""
+    table = f"gaps_{uuid.uuid4().hex}"
+    distance = F.when(F.col("row_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("distance")).alias("distance")
+    sinks.save_table(v.workouts.select("row_id", distance, "avg_speed"), table, path=_folder(v))
+    return readers.load_table(v.spark, table)
+
+
+@query("j3_open_daily_columns", """
+    WITH d AS (SELECT user_id, calendar_date, min(row_id) AS row_id FROM daily_v GROUP BY 1, 2)
+    SELECT s.user_id, s.calendar_date AS "calendarDate", s.start_sleep, date_trunc('milliseconds', w.begin_ts) AS "beginTimestamp",
+      w.distance, d.row_id % 40 AS "restingHeartRate", d.row_id AS distance_daily
+    FROM sleep_v s JOIN workouts_v w ON s.user_id = w.user_id AND s.calendar_date = w.calendar_date
+    LEFT JOIN d ON s.user_id = d.user_id AND s.calendar_date = d.calendar_date WHERE w.row_id % 5 <> 0""")
+def _(v):
+    """Daily fields outside the known ones come through, also one named like a workout's."""
+    sleep, workouts, daily = _folder(v), _folder(v), _folder(v)
+    _sleep_export(v).write.json(sleep)
+    _workout_export(v).write.json(workouts)
+    days = v.daily.groupBy("user_id", "calendar_date").agg(F.min("row_id").alias("distance"))
+    days.select(
+        "user_id", F.col("calendar_date").cast("string").alias("calendarDate"), "distance",
+        (F.col("distance") % 40).alias("restingHeartRate"),
+    ).write.json(daily)
+    raw = {"sleep": sleep, "workouts": workouts, "daily": daily, "multi_line": False}
+    out = readers.load_history(v.spark, raw=raw)
+    return out.select(
+        "user_id", "calendarDate", "start_sleep", "beginTimestamp", "distance", "restingHeartRate", "distance_daily")

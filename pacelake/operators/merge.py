@@ -18,7 +18,12 @@ def sleep_with_workouts(
 
 
 def with_daily(history: DataFrame, daily: DataFrame, day: str = "calendarDate") -> DataFrame:
-    """Add the daily values; ``daily`` holds one row per athlete and day."""
+    """Add the daily values; ``daily`` holds one row per athlete and day.
+
+    A daily column named like one of the history gets the suffix ``_daily``.
+    """
+    shared = [c for c in daily.columns if c in history.columns and c not in ("user_id", day)]
+    daily = daily.withColumnsRenamed({c: f"{c}_daily" for c in shared})
     return history.join(daily, ["user_id", day], "left")
 
 
@@ -28,13 +33,14 @@ def merge_history(sleep: DataFrame, workouts: DataFrame, daily: DataFrame) -> Da
     return with_daily(nights, daily)
 
 
-def rows_per_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+def rows_per_model(rows: DataFrame, models: DataFrame, limit: int = 1000) -> DataFrame:
     """Every input row once per selected model, from a table of model names.
 
-    The list of models is short; that is checked, as each row is repeated per model.
+    The list of models is short; more than ``limit`` are an error, as each row is repeated
+    per model.
     """
-    if not is_small(models, 1000):
-        raise ValueError("more than 1000 models selected")
+    if not is_small(models, limit):
+        raise ValueError(f"more than {limit} models selected")
     names = [r[0] for r in models.select("model_name").distinct().sort("model_name").collect()]
     return rows.withColumn("model_name", F.explode(F.array(*[F.lit(n) for n in names])))
 

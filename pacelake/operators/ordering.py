@@ -91,9 +91,10 @@ def drop_first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One whole row per key, the first in ``order``; pre-aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in set(keys)]
+    names = {c: F.col(f"`{c}`") for c in df.columns}  # a name may hold dots
+    rest = [column for c, column in names.items() if c not in set(keys)]
     row = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*names.values())
 
 
 def newest_per_key(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacelake.operators import cleaning
+from pacelake.operators.ordering import first_per_key
 from pacelake.schemas import DAILY_FILE, SLEEP_FILE
 from pacelake.sources import messages, readers, sinks
 
@@ -134,3 +135,39 @@ def test_messages(spark):
 def test_json_rows_keep_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert json.loads(sinks.json_rows(df).first()[0]) == {"a": 1, "b": None}
+
+
+def test_workouts_keep_file_order_beside_nested_fields(spark, exports):
+    df = readers.read_workouts(spark, exports["workouts"], schema=None)
+    assert cleaning.FILE_ORDER in df.columns
+    kept = first_per_key(df, ["user_id", "beginTimestamp"], [cleaning.FILE_ORDER]).collect()
+    assert [(r["sportType"], r["summary.laps.n"]) for r in kept] == [("RUNNING", 3)]
+
+
+def test_unknown_daily_columns_stay(spark, exports, tmp_path):
+    (tmp_path / "daily" / "c.json").write_text(json.dumps([{**DAY, "calendarDate": "2024-01-04", "restingHeartRate": 48}]))
+    rows = readers.merge_exports(spark, **exports)
+    assert "restingHeartRate" in rows.columns and "totalSteps" not in rows.columns
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("user_id", "long").add("distance", "double")
+    path = tmp_path / "rows.csv"
+    path.write_text("distance,more,user_id\nNaN,x,1\n2.5,y,2\n")
+    rows = readers.read_csv(spark, str(path), schema).orderBy("user_id").collect()
+    assert [tuple(r) for r in rows] == [(1, None, "x"), (2, 2.5, "y")]
+    path.write_text("distance\n1.0\n")
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(path), schema)
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.read_csv(spark, str(tmp_path / "empty.csv"), schema).count() == 0
+
+
+def test_a_wrong_table_is_not_replaced_by_other_data(spark, exports):
+    from pyspark.errors import AnalysisException
+
+    sinks.save_table(spark.range(1), "sports.unrelated")
+    with pytest.raises(AnalysisException):
+        readers.load_history(spark, table="sports.unrelated", raw=exports)
