@@ -65,6 +65,14 @@ def _(v):
     return _fill(v, ["user_id"], tile_rows=24)
 
 
+@query("f3_neighbour_imputation_text_ids", _imputed("user_id, sport"))
+def _(v):
+    """Ids as text; padded, so that their order is that of the numbers."""
+    named = v.sessions.withColumn("activity_id", F.lpad(F.col("activity_id").cast("string"), 12, "0"))
+    out = fit_neighbour_imputer(named, COLUMNS, "activity_id", ["user_id", "sport"]).transform(named)
+    return out.select(F.col("activity_id").cast("long").alias("activity_id"), *[F.round(c, 6).alias(c) for c in COLUMNS])
+
+
 @query("f1_f2_columns_by_type", """
     SELECT * FROM (VALUES ('avg_cadence', 'numeric'), ('avg_heart_rate', 'numeric'), ('benefit', 'numeric'),
       ('enhanced_avg_speed', 'numeric'), ('enhanced_max_speed', 'numeric'), ('max_heart_rate', 'numeric'),

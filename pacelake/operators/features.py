@@ -165,6 +165,7 @@ class Settings:
     indicators: bool = False
     sparse_share: float = SPARSE_SHARE
     neighbours: int = IMPUTE_NEIGHBOURS
+    max_categories: int = MAX_CATEGORIES
 
 
 @dataclass
@@ -208,15 +209,16 @@ class EncoderModel:
         kept = [_col(f"_keep_{c}").alias(c) if c in extra else _col(c) for c in wanted]
         return out.select(*kept, *[_col(c) for c in self.feature_columns])
 
-    def inverse_transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def inverse_transform(self, df: DataFrame, keep: Sequence[str] = (), snap: bool = False) -> DataFrame:
         """Encoded rows, such as predictions, as readable columns.
 
         Only the last step of each column is undone: imputed and filled values stay, the
-        benefit stays a label, times come as text, indicators go.
+        benefit stays a label, times come as text, indicators go. ``snap`` rounds times to whole
+        seconds, where truncation could lose one to the last bit.
         """
         s = self.settings
         out = RobustScaler({c: self.scaler.stats[c] for c in self.numeric_columns}).inverse_transform(df)
-        out = cyclic.decode_times(self.one_hot.inverse_transform(out), s.times)
+        out = cyclic.decode_times(self.one_hot.inverse_transform(out), s.times, snap)
         return out.select(*keep, *[_col(c) for c in [*self.numeric_columns, *self.one_hot.values, *s.times]])
 
     # -- storage -----------------------------------------------------------------
@@ -288,7 +290,8 @@ def fit_encoder(df: DataFrame, settings: Settings) -> EncoderModel:
     if neighbour:
         imputer = fit_neighbour_imputer(df, neighbour, s.row_id, s.block, k=s.neighbours)
     marked = [c for c in neighbour if nulls[c]] if s.indicators else []
-    hot = OneHot.fit(_label_benefit(df, s), [s.benefit, *s.one_hot] if s.benefit else s.one_hot)
+    categories = [s.benefit, *s.one_hot] if s.benefit else s.one_hot
+    hot = OneHot.fit(_label_benefit(df, s), categories, limit=s.max_categories)
     hot.fill.pop(s.benefit, None)
     model = EncoderModel(s, neighbour, marked, imputer, RobustScaler({}), hot)
     scaled = [*neighbour, *s.speed, *s.constant, *map(indicator, marked)]

@@ -109,7 +109,7 @@ def _search_tiles(keys: list[str], width: int, k: int):
         b = b.sort_values("rid")
         need, have = _matrix(a, width), _matrix(b, width)
         ids = b["rid"].to_numpy()
-        parts = [(np.array([], "int64"), np.array([], "int32"), np.array([]), np.array([], "int64"), np.array([]))]
+        parts = [(np.array([], "int64"), np.array([], "int32"), np.array([]), ids[:0], np.array([]))]
         for at, donors in _groups(a, b, keys):
             for f, row, donor, dist in _neighbours(need[at], have[donors], k):
                 found = donors[donor]
@@ -125,8 +125,8 @@ def _search_tiles(keys: list[str], width: int, k: int):
 class NeighbourImputer:
     """Fitted on a table of donors; fills tables of the same columns.
 
-    ``block`` names the columns within which neighbours are sought, ``row_id`` a long that
-    tells rows of a block apart.
+    ``block`` names the columns within which neighbours are sought, ``row_id`` a number or
+    text that tells rows of a block apart.
     """
 
     donors: DataFrame
@@ -170,9 +170,13 @@ class NeighbourImputer:
 
     # -- nearest rows --------------------------------------------------------
 
+    @property
+    def _id_type(self) -> T.DataType:
+        return self.donors.schema[self.row_id].dataType
+
     def _vectors(self, df: DataFrame) -> DataFrame:
         v = F.array(*[F.col(f"`{c}`").cast("double") for c in self.columns])
-        return df.select(*self.block, F.col(self.row_id).cast("long").alias("rid"), v.alias("v"))
+        return df.select(*self.block, F.col(self.row_id).cast(self._id_type).alias("rid"), v.alias("v"))
 
     def _by_block(self, df: DataFrame) -> DataFrame:
         donors = self._vectors(self.donors)
@@ -195,7 +199,7 @@ class NeighbourImputer:
     def _solve_small(self, need: DataFrame, donors: DataFrame, n_rows: int) -> DataFrame:
         cells = [T.StructField(f"v{i}", T.DoubleType()) for i in range(len(self.columns))]
         run = _fill_blocks(self.block, len(self.columns), self.k)
-        return self._cogroup(need, donors, self.block, n_rows, run, T.StructField("rid", T.LongType()), *cells)
+        return self._cogroup(need, donors, self.block, n_rows, run, T.StructField("rid", self._id_type), *cells)
 
     # -- athletes too large for one task --------------------------------------
 
@@ -292,8 +296,8 @@ class NeighbourImputer:
         run = _search_tiles(keys, len(self.columns), self.k)
         found = self._cogroup(
             spread, copies, keys, n_rows, run,
-            T.StructField("rid", T.LongType()), T.StructField("f", T.IntegerType()),
-            T.StructField("dist", T.DoubleType()), T.StructField("donor", T.LongType()),
+            T.StructField("rid", self._id_type), T.StructField("f", T.IntegerType()),
+            T.StructField("dist", T.DoubleType()), T.StructField("donor", self._id_type),
             T.StructField("value", T.DoubleType()),
         )
         return found.drop("tile", "part")
