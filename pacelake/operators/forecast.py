@@ -63,10 +63,10 @@ class Config:
 # -- training matrix -------------------------------------------------------------------
 
 
-def _encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config) -> DataFrame:
-    """History rows with their encoded features as one array ``x``."""
-    encoded = encoder.transform(history, keep=[cfg.begin])
-    return windows.feature_vector(encoded, encoder.feature_columns).select(USER, cfg.history_id, cfg.begin, "x")
+def _encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config, keep: Sequence[str] = ()) -> DataFrame:
+    """History rows with their encoded features as one array ``x``, and other columns to keep."""
+    encoded = encoder.transform(history, keep=[cfg.begin, *keep])
+    return windows.feature_vector(encoded, encoder.feature_columns).select(USER, cfg.history_id, cfg.begin, *keep, "x")
 
 
 def _summary_vector() -> Column:
@@ -126,11 +126,15 @@ class ForecastModel:
         return self.session_encoder.inverse_transform(self.predict_encoded(ready), keep)
 
     def predict_for_date(self, history: DataFrame, date: Column) -> DataFrame:
-        """Next workout of every athlete, seen from one date."""
+        """Next workout of every athlete, seen from one date; only rows of a window are encoded."""
         cfg = self.config
-        past = _encode_history(self.history_encoder, history, cfg)
-        rows = windows.window_for_date(past, date, begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows)
-        return self.predict(collect_window(rows), [USER])
+        # the athlete's own column of that name, if any, steps aside for the age of a row
+        rows = windows.window_for_date(
+            history.withColumnRenamed("age", "_own_age"), date,
+            begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows,
+        ).withColumnRenamed("age", "_age").withColumnRenamed("_own_age", "age")
+        past = _encode_history(self.history_encoder, rows, cfg, ["_age"]).withColumnRenamed("_age", "age")
+        return self.predict(collect_window(past), [USER])
 
     def predict_for_last_days(self, history: DataFrame, days: int = 30) -> DataFrame:
         """Next workout seen from each of the last days before the newest history row."""
