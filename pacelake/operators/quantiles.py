@@ -9,12 +9,15 @@ narrowed until the few values left inside it can be ranked exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_VALUES = 1_000_000
+"""Values of one column that a task may hold; all columns of one pass together hold at most
+``COLUMNS_AT_ONCE`` times as many."""
+COLUMNS_AT_ONCE = 4
 ACCURACY = 10_000
 
 
@@ -56,15 +59,31 @@ def exact_quantiles(
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     names = dict(enumerate(columns))
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in names.items()]).first()
-    if max(counts) <= max_values:
-        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(f"q{i}")
-                       for i, c in names.items()]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in names.items()}
-    known = {c: counts[i] for i, c in names.items() if counts[i]}
-    targets = _first_brackets(df, known, probs)
-    _narrow(df, targets, max_values)
-    found = {(t.column, t.prob): t.value for t in targets}
-    return {c: [found.get((c, p)) for p in probs] for c in columns}
+    out = {c: [None] * len(probs) for c in columns}
+    few = [i for i in names if 0 < counts[i] <= max_values]
+    for batch in _batches(few, [counts[i] for i in few], COLUMNS_AT_ONCE * max_values):
+        row = df.agg(*[F.percentile(names[i], F.array(*map(F.lit, probs))).alias(f"q{i}") for i in batch]).first()
+        out |= {names[i]: list(row[f"q{i}"]) for i in batch}
+    many = {c: counts[i] for i, c in names.items() if counts[i] > max_values}
+    if many:
+        targets = _first_brackets(df, many, probs)
+        _narrow(df, targets, max_values)
+        found = {(t.column, t.prob): t.value for t in targets}
+        out |= {c: [found[c, p] for p in probs] for c in many}
+    return out
+
+
+def _batches(items: Sequence, sizes: Sequence[int], limit: int) -> Iterator[list]:
+    """Items in order, as many at once as their sizes stay within ``limit``; one at least."""
+    batch, held = [], 0
+    for item, size in zip(items, sizes):
+        if batch and held + size > limit:
+            yield batch
+            batch, held = [], 0
+        batch.append(item)
+        held += size
+    if batch:
+        yield batch
 
 
 def _sketch(c: Column, fraction: float, rows: int, missed: int = 0) -> Column:
@@ -93,15 +112,16 @@ def _narrow(df: DataFrame, targets: list[_Target], max_values: int) -> None:
                 F.approx_count_distinct(F.when(t.span, F.col(t.column))).alias(f"d{i}"),
             )
         ]).first()
-        finish, narrow, widen = [], [], []
+        finish, held, narrow, widen = [], [], [], []
         for i, t in enumerate(open_targets):
             t.below, t.inside = counted[f"l{i}"], counted[f"m{i}"]
             if not t.covered:
                 widen.append(t)
             elif t.low == t.high:
                 t.value = t.low
-            elif min(t.inside, 2 * counted[f"d{i}"]) <= max_values:
+            elif (size := min(t.inside, 2 * counted[f"d{i}"])) <= max_values:
                 finish.append(t)
+                held.append(size)
             else:
                 narrow.append(t)
         for t in widen:  # the sketch missed; start again from the open side
@@ -110,12 +130,12 @@ def _narrow(df: DataFrame, targets: list[_Target], max_values: int) -> None:
                 t.low = -math.inf
             if math.ceil(t.rank) > t.below + t.inside - 1:
                 t.high = math.inf
-        if finish:
+        for batch in _batches(finish, held, COLUMNS_AT_ONCE * max_values):
             row = df.agg(*[
                 F.percentile(F.when(t.span, F.col(t.column)), F.lit(t.local)).alias(f"v{i}")
-                for i, t in enumerate(finish)
+                for i, t in enumerate(batch)
             ]).first()
-            for i, t in enumerate(finish):
+            for i, t in enumerate(batch):
                 t.value = row[i]
         if narrow:
             row = df.agg(*[
