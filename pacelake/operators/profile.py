@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pacelake.functions.scalars import sleep_hours
@@ -101,16 +102,52 @@ def drop_empty(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return drop_sparse(df, 1.0, keep)
 
 
+_PRODUCTS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _cross_products(centres: Sequence[float]):
+    """Sums over the rows of a task where both columns of a pair are known, for all pairs at once."""
+    width = len(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - np.array(centres)
+            known = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            n += known.T @ known
+            sx += x.T @ known
+            sxx += (x * x).T @ known
+            sxy += x.T @ x
+        i, j = np.indices((width, width), dtype=np.int32)
+        cells = [i, j, n, sx, sx.T, sxx, sxx.T, sxy]
+        names = [part.split()[0] for part in _PRODUCTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in cells], names)
+
+    return run
+
+
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, each over the rows where both are known."""
-    rows = []
-    for a, b in combinations_with_replacement(columns, 2):
-        r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-    half = _rows_of_one_pass(df, rows)
-    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    distinct = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
-    return half.select(F.explode(distinct).alias("p")).select("p.*")
+    """Pearson correlation of every pair, each over the rows where both are known.
+
+    NaN counts as unknown. NULL where a column has fewer than two different values. Every task
+    sends one row a pair. A first pass finds the means, around which the products are taken.
+    """
+    columns = list(columns)
+    cast = [F.col(f"`{c}`").cast("double") for c in columns]
+    values = df.select(*[F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(cast)])
+    means = values.agg(*[F.avg(c) for c in values.columns]).first()
+    centres = [m if m is not None else 0.0 for m in means]
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    products = values.mapInArrow(_cross_products(centres), _PRODUCTS).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    var_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    # what rounding leaves of a constant column is no variance
+    varies = (F.col("n") > 1) & (var_x > 1e-12 * F.col("sxx")) & (var_y > 1e-12 * F.col("syy"))
+    r = F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(var_x * var_y))
+    pairs = [(i, j, a, b) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    named = df.sparkSession.createDataFrame(pairs, "i int, j int, a string, b string")
+    return named.join(products.select("i", "j", r.alias("r")), ["i", "j"], "left").select("a", "b", "r")
 
 
 def mean_sleep_hours(df: DataFrame, phases: Sequence[str]) -> DataFrame:
