@@ -26,7 +26,7 @@ from pacelake.operators.features import EncoderModel, OneHot, fit_history_encode
 from pacelake.operators.merge import tag_union
 from pacelake.operators.ordering import newest_time, number_rows
 from pacelake.schemas import MODEL_SPORTS, SESSION_STAMINA, SESSION_TIMES, WINDOW_ROWS
-from pacelake.session import cut_lineage
+from pacelake.session import cut_lineage, staged
 
 USER = "user_id"
 PARALLEL_FITS = 4  # independent fits over one stored matrix
@@ -69,16 +69,26 @@ def _encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config, keep
     return windows.feature_vector(encoded, encoder.feature_columns).select(USER, cfg.history_id, cfg.begin, *keep, "x")
 
 
+def encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config) -> DataFrame:
+    """The encoded history from a table, so that the neighbour search runs once."""
+    return staged(_encode_history(encoder, history, cfg))
+
+
 def _summary_vector() -> Column:
     return array_to_vector(F.concat("window_mean", "window_last", "window_trend"))
 
 
 def training_matrix(
-    history: DataFrame, sessions: DataFrame, history_encoder: EncoderModel, session_encoder: EncoderModel, cfg: Config
+    history: DataFrame, sessions: DataFrame, history_encoder: EncoderModel, session_encoder: EncoderModel, cfg: Config,
+    past: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per session with enough history before it: ``features`` and target columns."""
-    past = _encode_history(history_encoder, history, cfg)
-    targets = session_encoder.transform(sessions, keep=[cfg.start])
+    """One row per session with enough history before it: ``features`` and target columns.
+
+    ``past`` is the history as ``encode_history`` gives it, if that is there already.
+    """
+    if past is None:
+        past = encode_history(history_encoder, history, cfg)
+    targets = staged(session_encoder.transform(sessions, keep=[cfg.start]))
     framed = windows.training_windows(
         past, targets, ["x"], begin=cfg.begin, row_id=cfg.history_id, start=cfg.start,
         session_id=cfg.session_id, n=cfg.window_rows, mode=cfg.mode,
@@ -137,12 +147,13 @@ class ForecastModel:
         return self.predict(collect_window(past), [USER])
 
     def predict_for_last_days(self, history: DataFrame, days: int = 30) -> DataFrame:
-        """Next workout seen from each of the last days before the newest history row."""
+        """Next workout seen from each of the last days before the newest history row; only rows
+        that a window can hold are encoded, once."""
         cfg = self.config
-        past = _encode_history(self.history_encoder, history, cfg)
-        framed = windows.windows_for_last_days(
-            past, ["x"], days, begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows
-        )
+        names = {"begin": cfg.begin, "row_id": cfg.history_id, "n": cfg.window_rows}
+        past = encode_history(self.history_encoder, windows.recent_rows(history, days, **names), cfg)
+        anchors = windows.day_anchors(past, days, cfg.begin)
+        framed = windows.windows_for_anchors(past, anchors, ["x"], **names)
         return self.predict(framed, [USER, "days_back"])
 
     def next_activity(self, history: DataFrame) -> DataFrame:
@@ -217,15 +228,24 @@ def fit_learners(
         return dict(zip(targets, pool.map(inheritable_thread_target(fit), targets)))
 
 
+def _fit_history(history: DataFrame, cfg: Config) -> tuple[EncoderModel, DataFrame]:
+    encoder = fit_history_encoder(history, cfg.history_id, **cfg.history_options)
+    return encoder, encode_history(encoder, history, cfg)
+
+
 def train(
     history: DataFrame, sessions: DataFrame, config: Config | None = None,
     learner: Callable = squared_loss, hold_out: float | None = None,
+    encoded: tuple[EncoderModel, DataFrame] | None = None,
 ) -> ForecastModel:
-    """Fit both encoders, cut the windows, fit the learners."""
+    """Fit both encoders, cut the windows, fit the learners.
+
+    ``encoded`` is a fitted history encoder with the history it encoded, to share among models.
+    """
     cfg = config or Config()
-    history_encoder = fit_history_encoder(history, cfg.history_id, **cfg.history_options)
+    history_encoder, past = encoded or _fit_history(history, cfg)
     session_encoder = fit_session_encoder(sessions, cfg.session_id, **cfg.session_options)
-    matrix = training_matrix(history, sessions, history_encoder, session_encoder, cfg)
+    matrix = training_matrix(history, sessions, history_encoder, session_encoder, cfg, past)
     if hold_out is not None:
         matrix = hold_out_newest(matrix, hold_out, cfg.start, cfg.session_id)
     matrix = cut_lineage(matrix)  # read once per target
@@ -244,13 +264,15 @@ def train_per_sport(
     history: DataFrame, sessions: DataFrame, config: Config | None = None,
     sports: Sequence[str] = MODEL_SPORTS, learner: Callable = squared_loss,
 ) -> dict[str, ForecastModel]:
-    """One model per sport, each over that sport's sessions only."""
+    """One model per sport, each over that sport's sessions only; the history is encoded once."""
+    cfg = replace(config or Config(), classify_sport=False)
+    encoded = _fit_history(history, cfg)
     out = {}
     for sport in sports:
         own = sessions.filter(F.col("sport") == sport)
         if SESSION_STAMINA in own.columns:
             own = own.withColumn(SESSION_STAMINA, S.full_stamina("sport", f"`{SESSION_STAMINA}`"))
-        out[sport] = train(history, own, replace(config or Config(), classify_sport=False), learner)
+        out[sport] = train(history, own, cfg, learner, encoded=encoded)
     return out
 
 

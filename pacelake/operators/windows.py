@@ -143,19 +143,43 @@ def windows_for_anchors(
     n: int = WINDOW_ROWS,
     skip_latest: bool = True,
     max_group_rows: int = MAX_GROUP_ROWS,
+    days: int | None = None,
 ) -> DataFrame:
-    """Windows in front of any number of anchors per athlete."""
+    """Windows in front of any number of anchors per athlete.
+
+    ``days`` says that all anchors are within the last days; only rows that these can hold are packed.
+    """
     past = number_rows(history, [USER], [begin, row_id], "pos", max_group_rows)
+    if days is not None:
+        past = recent_rows(past, days, begin=begin, row_id=row_id, n=n)
     chunks = pack_chunks(past, [F.col(begin).alias("begin"), *columns], n)
     marks = count_before(history, anchors, begin, row_id, at, max_group_rows)
     end = F.col("n_before") - (1 if skip_latest else 0)
     return rows_before(chunks, marks.withColumn("_end", end), "_end", n).drop("_end", "n_before")
 
 
+def recent_rows(
+    history: DataFrame, days: int, *, begin: str = "begin_ts", row_id: str = "row_id", n: int = WINDOW_ROWS
+) -> DataFrame:
+    """The rows that windows of the last ``days`` days can hold.
+
+    Those from the oldest anchor on, and the n + 1 newest before it, which a task cuts before
+    the shuffle. Rows without a time count as oldest.
+    """
+    newest = history.groupBy(USER).agg(F.max(begin).alias("_newest"))
+    oldest = whole_second(F.col("_newest") - F.make_dt_interval(days=F.lit(days - 1)))
+    # the athlete's own column of that name, if any, steps aside for the age of a row
+    rows = history.withColumnRenamed("age", "_own_age").join(newest.select(USER, oldest.alias("_oldest")), USER)
+    later = F.coalesce(F.col(begin) >= F.col("_oldest"), F.lit(False))
+    earlier = newest_per_key(rows.filter(~later), [USER], begin, row_id, n + 1).drop("age")
+    found = earlier.unionByName(rows.filter(later)).drop("_oldest")
+    return found.withColumnRenamed("_own_age", "age").select(*[F.col(f"`{c}`") for c in history.columns])
+
+
 def windows_for_last_days(history: DataFrame, columns: Sequence[str], days: int = 30, **kw) -> DataFrame:
     """Windows in front of each of the last ``days`` days of every athlete."""
     anchors = day_anchors(history, days, kw.get("begin", "begin_ts"))
-    return windows_for_anchors(history, anchors, columns, **kw)
+    return windows_for_anchors(history, anchors, columns, days=days, **kw)
 
 
 def feature_vector(df: DataFrame, columns: Sequence[str], name: str = "x") -> DataFrame:
