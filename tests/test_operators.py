@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacelake.functions import cyclic, scalars as S
-from pacelake.operators import cleaning, features, ordering, profile, reports, windows
+from pacelake.operators import cleaning, features, ordering, profile, quantiles, reports, windows
 from pacelake.operators.impute import fit_neighbour_imputer
 from pacelake.operators.quantiles import exact_quantiles
 
@@ -322,3 +322,48 @@ def test_imputation_does_not_depend_on_partitions(spark):
     first = sorted(one(model.transform(df.repartition(7))))
     again = sorted(one(fit_neighbour_imputer(df.repartition(3), ["a", "b"], "id").transform(df.coalesce(1))))
     assert first == again and all(v is not None for row in first for v in row)
+
+
+def test_quantiles_of_many_columns_in_batches(spark):
+    rows = [(float(i), float(i % 7), None) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = exact_quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0], 120)
+    assert got == exact_quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0])
+    assert got["a"] == [0.0, 249.5, 499.0] and got["c"] == [None] * 3
+    assert list(quantiles._batches("abcd", [3, 3, 9, 1], 6)) == [["a", "b"], ["c"], ["d"]]
+
+
+def test_correlation_over_known_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1.0, 400)
+    y = x * 2 + rng.normal(0, 1.0, 400)
+    rows = [
+        (float(a), None if i % 3 == 0 else float(b), float("nan") if i % 5 == 0 else float(-a), 0.1, None)
+        for i, (a, b) in enumerate(zip(x, y))
+    ]
+    df = spark.createDataFrame(rows, "x double, `y.1` double, z double, same double, none double").repartition(3)
+    names = df.columns
+    got = {(r["a"], r["b"]): r["r"] for r in profile.correlation(df, names).collect()}
+    assert len(got) == 25 and got["x", "x"] == pytest.approx(1)
+    known = np.arange(400) % 3 > 0
+    assert got["x", "y.1"] == got["y.1", "x"] == pytest.approx(np.corrcoef(x[known], y[known])[0, 1], abs=1e-9)
+    assert got["x", "z"] == pytest.approx(-1, abs=1e-9)
+    assert all(got[a, b] is None for a in names for b in ("same", "none"))
+    assert {r["r"] for r in profile.correlation(df.limit(0), names).collect()} == {None}
+
+
+def test_recent_rows_hold_every_window(spark):
+    rows = [(u, i, f"2024-01-{1 + i % 28:02d} 0{u}:00:00" if i % 9 else None, i) for u in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, row_id long, t string, age int")
+    df = df.withColumn("begin_ts", F.col("t").cast("timestamp_ntz"))
+    recent = windows.recent_rows(df, 4, n=5)
+    assert recent.columns == df.columns and recent.count() < df.count() / 2
+    kept = {(r["user_id"], r["row_id"]): r["age"] for r in recent.collect()}
+    assert all(age == row for (_, row), age in kept.items())
+    every = windows.windows_for_anchors(df, windows.day_anchors(df, 4), ["row_id"], n=5)
+    some = windows.windows_for_anchors(recent, windows.day_anchors(recent, 4), ["row_id"], n=5)
+    ids = [
+        {(r["user_id"], r["days_back"]): [w["row_id"] for w in r["window"]] for r in framed.collect()}
+        for framed in (every, some)
+    ]
+    assert ids[0] == ids[1] and all(ids[0].values())
