@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from checks.features import _history, _named
 from checks.registry import query
 from pacelake.operators import forecast as M, windows
 from pacelake.operators.ordering import newest_per_key
+from pacelake.schemas import MODEL_SPORTS
 from pacelake.session import scratch_dir
 
 CONFIG = M.Config(window_rows=10, mode="asof")
@@ -115,10 +117,32 @@ def _matrix(v):
     return M.training_matrix(_history(v), _named(v), model.history_encoder, model.session_encoder, CONFIG)
 
 
-@query("m1_training_matrix")
+PAST = """
+    WITH n AS (SELECT DISTINCT user_id, calendar_date FROM sleep_v),
+    h AS (SELECT w.user_id, w.row_id, w.begin_ts, coalesce(w.distance, 0.0) AS distance
+      FROM workouts_v w JOIN n ON w.user_id = n.user_id AND w.calendar_date = n.calendar_date)"""
+
+
+@query("m1_training_matrix", f"""{PAST},
+    q AS (SELECT quantile_cont(distance, 0.5) AS mid, quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25) AS wide FROM h),
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_time, activity_id) - 1 AS session_no FROM sessions_v),
+    r AS (SELECT s.user_id, s.activity_id, s.session_no, s.sport, h.row_id, (distance - mid) / wide AS d,
+        row_number() OVER (PARTITION BY s.activity_id ORDER BY h.begin_ts DESC, h.row_id DESC) AS rn
+      FROM q, s LEFT JOIN h ON h.user_id = s.user_id AND h.begin_ts < date_trunc('second', s.start_time)
+      WHERE s.session_no >= 10)
+    SELECT user_id, activity_id, session_no, CAST(count(row_id) AS INT) AS window_rows,
+      CASE WHEN sport = 'running' THEN 1.0 ELSE 0.0 END AS sport_running,
+      round(coalesce(avg(d), 0), 6) AS distance_mean, round(coalesce(arg_min(d, rn), 0), 6) AS distance_last
+    FROM r WHERE rn <= 10 GROUP BY user_id, activity_id, session_no, sport""")
 def _(v):
     out = _matrix(v)
-    return out.select("user_id", "activity_id", "session_no", "window_rows", F.col("sport_running"))
+    columns = _model(v).history_encoder.feature_columns
+    cells, at = vector_to_array("features"), columns.index("distance")
+    return out.select(
+        "user_id", "activity_id", "session_no", "window_rows", "sport_running",
+        F.round(F.get(cells, F.lit(at)), 6).alias("distance_mean"),
+        F.round(F.get(cells, F.lit(len(columns) + at)), 6).alias("distance_last"),
+    )
 
 
 @query("m2_fit_and_predict_encoded")
@@ -144,10 +168,18 @@ def _(v):
 
 @query("m5_model_per_sport")
 def _(v):
-    models = M.train_per_sport(_history(v), _named(v), CONFIG, ["running", "swimming"])
+    models = M.train_per_sport(_history(v), _named(v), CONFIG)
     return M.per_model(models, _history(v))
 
 
+@query("m5_models_predict_their_sport", f"""{PAST}
+    SELECT DISTINCT user_id, sport, sport AS model_name FROM h,
+      (SELECT unnest([{', '.join(f"'{s}'" for s in MODEL_SPORTS)}]) AS sport)""")
+def _(v):
+    models = M.train_per_sport(_history(v), _named(v), CONFIG)
+    return M.per_model(models, _history(v)).select("user_id", "sport", "model_name")
+
+
 @query("m6_m14_train_save_load")
 def _(v):
     path = f"{scratch_dir(v.spark)}/model-{uuid.uuid4().hex}"
@@ -155,6 +187,76 @@ def _(v):
     return M.ForecastModel.load(path, v.spark).next_activity(_history(v))
 
 
+def _same(one, other):
+    """Per athlete, whether two predictions agree in every column."""
+    def packed(df, name):
+        return df.select("user_id", F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]).alias(name))
+
+    both = packed(one, "a").join(packed(other, "b"), "user_id")
+    return both.select("user_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+@query("m14_loaded_model_predicts_the_same", f"{PAST} SELECT DISTINCT user_id, TRUE AS same FROM h")
+def _(v):
+    path = f"{scratch_dir(v.spark)}/model-{uuid.uuid4().hex}"
+    _model(v).save(path, v.spark)
+    loaded = M.ForecastModel.load(path, v.spark)
+    return _same(_model(v).next_activity(_history(v)), loaded.next_activity(_history(v)))
+
+
+@query("m9_m10_same_anchor", f"""{PAST},
+    w AS (SELECT user_id, max(begin_ts) AS newest FROM h GROUP BY user_id)
+    SELECT user_id, TRUE AS same FROM h JOIN w USING (user_id) WHERE begin_ts < date_trunc('second', newest)
+    GROUP BY user_id HAVING count(*) >= 2""")
+def _(v):
+    history = _history(v)
+    newest = history.groupBy("user_id").agg(F.max("beginTimestamp").alias("newest"))
+    dated = _model(v).predict_for_date(history.join(newest, "user_id"), F.col("newest"))
+    return _same(dated, _model(v).next_activity(history))
+
+
+def _planted(v):
+    """History rows with a linear label, and the same label with every twentieth row far off."""
+    features = array_to_vector(F.array("load", F.coalesce("avg_speed", F.lit(0.0))))
+    truth = 2 * F.col("load") - 5 * F.coalesce("avg_speed", F.lit(0.0)) + 7
+    far = F.when(F.col("row_id") % 20 == 0, 5000.0).otherwise(0.0)
+    return v.history.select("row_id", features.alias("features"), truth.alias("plain"), (truth + far).alias("spoilt"))
+
+
+def _planted_predictions(v):
+    """``a`` and ``b``: least squares over the label and over the spoilt one; ``c``: Huber loss over the spoilt one."""
+    rows = _planted(v)
+    squares = M.fit_learners(rows, ["plain", "spoilt"])
+    huber = M.fit_learners(rows, ["spoilt"], M.huber_loss)
+    for name, learner in (("a", squares["plain"]), ("b", squares["spoilt"]), ("c", huber["spoilt"])):
+        rows = learner.setPredictionCol(name).transform(rows)
+    return rows
+
+
+@query("m2_m3_planted_relation", "SELECT row_id, TRUE AS squares_near, TRUE AS huber_near_despite_outliers FROM history_v")
+def _(v):
+    near = {"squares_near": "a", "huber_near_despite_outliers": "c"}
+    rows = _planted_predictions(v)
+    return rows.select("row_id", *[(F.abs(F.col(c) - F.col("plain")) < 5).alias(name) for name, c in near.items()])
+
+
+@query("m3_huber_resists_outliers", "SELECT count(*) AS n, TRUE AS tenfold_closer FROM history_v")
+def _(v):
+    squares, huber = (F.avg(F.abs(F.col(c) - F.col("plain"))) for c in "bc")
+    return _planted_predictions(v).agg(F.count("*").alias("n"), (squares > 10 * huber).alias("tenfold_closer"))
+
+
+@query("m4_separable_sports", "SELECT activity_id, sport FROM sessions_v")
+def _(v):
+    encoder = _model(v).session_encoder
+    hot = encoder.one_hot
+    seen = F.array(*[F.col(c) for c in hot.names("sport")], F.col("max_heart_rate"))
+    rows = encoder.transform(_named(v)).withColumn("features", array_to_vector(seen))
+    found = M.fit_sport_classifier(rows, hot).transform(rows)
+    sports = F.array(*[F.lit(s) for s in hot.values["sport"]])
+    return found.select("activity_id", F.get(sports, F.col("sport_index").cast("int")).alias("sport"))
+
+
 @query("m7_boosted_trees_with_early_stop")
 def _(v):
     marked = M.hold_out_newest(_matrix(v), 0.1)
