@@ -17,7 +17,8 @@ shard holds the texts of some anchors and only meets the stretches of documents
    the shuffle.
 3. Texts meet by anchor. Anchors are packed into shards of at most ``SHARD_WORDS`` words, each shard
    becomes an automaton, and its texts are streamed through it. An anchor with more text than that is
-   compared window by window in a grouped aggregation instead, which has no bound on a group.
+   compared window by window in an aggregation instead, whose groups hold one passage: equal windows are
+   combined before the shuffle. One task streams the texts of an anchor, in pieces of at most that size.
 4. Occurrences join the findings of their text, and documents join their removed windows.
 
 Windows are judged on the input. A null id counts as greater than every other: such a document loses what
