@@ -292,6 +292,31 @@ def _(v):
     return out.select("seq", "activity_id", "avg_vam", "sport")
 
 
+VALUES = {
+    "s12_session_values": ("SESSION", False, {"max_heart_rate": "DOUBLE", "sport": "VARCHAR"}),
+    "s12_set_values": ("SET", False, {"weight": "DOUBLE"}),
+    "s12_length_values": ("LENGTH", False, {"avg_speed": "DOUBLE"}),
+    "s13_wide_record_values": ("RECORD", True, {"heart_rate": "DOUBLE", "distance": "DOUBLE", "stance_time": "DOUBLE"}),
+    "s13_wide_session_values": ("SESSION", True, {"max_heart_rate": "DOUBLE", "sport": "VARCHAR", "avg_vam": "DOUBLE"}),
+}
+
+
+def _values(v):
+    return v.values.withColumn("fields", F.from_json("fields", "map<string,string>"))
+
+
+def _register(name, kind, wide, keys):
+    cells = ", ".join(f"CAST(json_extract_string(fields, '$.{k}') AS {t}) AS {k}" for k, t in keys.items())
+
+    @query(name, f"SELECT seq, activity_id, {cells} FROM values_v WHERE mesg = '{kind}'")
+    def _(v):
+        return messages.project_messages(_values(v), kind, wide).select("seq", "activity_id", *keys)
+
+
+for _name, _what in VALUES.items():
+    _register(_name, *_what)
+
+
 @query("s15_all_sessions", "SELECT activity_id, count(*) AS sessions FROM messages_v WHERE mesg = 'SESSION' GROUP BY 1")
 def _(v):
     return messages.all_sessions(_messages(v)).groupBy("activity_id").agg(F.count("*").alias("sessions"))

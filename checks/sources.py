@@ -81,6 +81,18 @@ def _(v):
     return out.agg(F.count("*").alias("n"), F.round(F.sum("heart_rate"), 2).alias("heart_rate"))
 
 
+@query("s9_full_records", """
+    SELECT activity_id, seq, CASE WHEN mesg = 'RECORD' THEN CAST(json_extract_string(fields, '$.heart_rate') AS DOUBLE) END AS heart_rate,
+      CASE WHEN mesg = 'SET' THEN CAST(json_extract_string(fields, '$.weight') AS DOUBLE) END AS weight,
+      CASE WHEN mesg = 'LENGTH' THEN CAST(json_extract_string(fields, '$.avg_speed') AS DOUBLE) END AS avg_speed
+    FROM values_v WHERE mesg <> 'SESSION'""")
+def _(v):
+    decoded = v.values.withColumn("fields", F.from_json("fields", "map<string,string>"))
+    path = _folder(v)
+    sinks.write_samples(messages.full_samples(decoded), path, folders=16)
+    return sinks.read_samples(v.spark, path, folders=16).select("activity_id", "seq", "heart_rate", "weight", "avg_speed")
+
+
 @query("s10_json_rows", """
     SELECT row_id, CAST(row_id AS VARCHAR) AS id_in_json, sport_type AS sport_in_json FROM workouts_v""")
 def _(v):

@@ -68,6 +68,17 @@ VIEWS: dict[str, tuple[list[str], str | None]] = {
         "CASE WHEN event_id % 3 = 0 THEN '' ELSE CONCAT(',\"power\":', "
         "CAST(100 + event_id % 200 AS STRING)) END, '}') AS fields",
     ], None),
+    "values_v": ([
+        "user_id",
+        "CAST(user_id AS STRING) AS activity_id",
+        "event_id AS seq",
+        "CASE event_id % 4 WHEN 0 THEN 'RECORD' WHEN 1 THEN 'SESSION' WHEN 2 THEN 'SET' ELSE 'LENGTH' END AS mesg",
+        "CONCAT('{\"heart_rate\":', CAST(90 + event_id % 80 AS STRING), ',\"max_heart_rate\":', "
+        "CAST(120 + event_id % 75 AS STRING), CASE WHEN event_id % 7 = 0 THEN '' ELSE CONCAT(',\"sport\":\"', event_type, '\"') END, "
+        "',\"weight\":', CAST(event_id % 90 AS STRING), '.5,\"avg_speed\":', CAST(event_id % 9 AS STRING), "
+        "'.25,\"stance_time\":', CAST(200 + event_id % 60 AS STRING), ',\"avg_vam\":', CAST(event_id % 30 AS STRING), "
+        "'.5,\"distance\":', CAST(event_id % 5000 AS STRING), '.75}') AS fields",
+    ], None),
 }
 
 
