@@ -277,6 +277,33 @@ def _(v):
     )
 
 
+def _clock(c):
+    return f"CAST(hour({c}) AS VARCHAR) || ':' || lpad(CAST(minute({c}) AS VARCHAR), 2, '0') || ':00'"
+
+
+@query("f14_inverse_times", f"""
+    SELECT activity_id, {_clock('start_time')} AS start_time, {_clock('end_time')} AS end_time, TRUE AS cut_within_a_minute
+    FROM sessions_v""")
+def _(v):
+    sessions = _named(v)
+    model = X.fit_session_encoder(sessions, "activity_id")
+    encoded = model.transform(sessions, keep=["activity_id"])
+    back = model.inverse_transform(encoded, keep=["activity_id"], snap=True)
+    cut = model.inverse_transform(encoded, keep=["activity_id"])
+
+    def seconds(c):
+        parts = F.split(c, ":")
+        return sum(F.get(parts, F.lit(i)).cast("long") * unit for i, unit in enumerate((3600, 60, 1)))
+
+    times = cut.select("activity_id", F.col("start_time").alias("s"), F.col("timestamp").alias("t"))
+    gap = F.greatest(*[
+        F.abs(F.pmod(seconds(F.col(snapped)) - seconds(F.col(plain)) + 43200, F.lit(86400)) - 43200)
+        for snapped, plain in (("start_time", "s"), ("timestamp", "t"))
+    ])
+    both = back.join(times, "activity_id")
+    return both.select("activity_id", "start_time", F.col("timestamp").alias("end_time"), (gap <= 60).alias("cut_within_a_minute"))
+
+
 @query("f15_plain_session_encoder", """
     WITH q AS (SELECT quantile_cont(max_heart_rate, 0.5) AS m, quantile_cont(max_heart_rate, 0.75) - quantile_cont(max_heart_rate, 0.25) AS r
       FROM sessions_v)

@@ -26,7 +26,8 @@ def decode_hours(sine: Column | str, cosine: Column | str) -> Column:
 
 
 def decode_time(sine: Column | str, cosine: Column | str, snap: bool = False) -> Column:
-    """``H:MM:SS`` by truncation; ``snap`` rounds to whole seconds first."""
+    """``H:MM:SS`` with each part truncated by itself, which can be a minute off after rounding
+    errors; ``snap`` rounds to whole seconds first and is exact."""
     hours = decode_hours(sine, cosine)
     if snap:
         seconds = F.pmod(F.round(hours * 3600, 0).cast("long"), F.lit(86_400))

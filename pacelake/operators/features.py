@@ -214,7 +214,7 @@ class EncoderModel:
 
         Only the last step of each column is undone: imputed and filled values stay, the
         benefit stays a label, times come as text, indicators go. ``snap`` rounds times to whole
-        seconds, where truncation could lose one to the last bit.
+        seconds, where truncation could lose up to a minute to the last bit.
         """
         s = self.settings
         out = RobustScaler({c: self.scaler.stats[c] for c in self.numeric_columns}).inverse_transform(df)
