@@ -9,13 +9,14 @@ touches are selected too.
 
 DataFrame and ML functions only. Texts are read once; hits, their distances and the text around
 them go to a narrow table in the shared folder. Everything behind it is linear in the number of hits.
-The fit sees at most ``max_fit`` settled candidates of each class, those with the least hash.
+The fit sees at most ``max_fit`` settled candidates of each class, those with the least hash. Copies of a
+candidate, with the same text around them, count once in the fit and for the threshold.
 
 Patterns are written so that each is linear in the text and never recurses: runs are possessive, and a
 run is only tried at its beginning or right behind the last match, where alone a match can start.
 
 Each row is a document of its own, also if it repeats another; null text counts as empty; null ids
-pass through. Without settled candidates of both classes the base spans are all there is.
+pass through. Without distinct settled candidates of both classes in either half the base spans are all there is.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ GUARDS = {"email": "@", "phone": "+"}
 
 CONTEXT = 24
 MAX_FIT = 5_000
-"""Settled candidates of each class that the fit sees at most."""
+"""Distinct settled candidates of each class that the fit sees at most."""
 TREES, DEPTH = 10, 3
 PRECISION = 0.99
 
@@ -174,8 +175,8 @@ def _touched(candidates: DataFrame, base: DataFrame) -> DataFrame:
 
 def _fit(candidates: DataFrame, features: list[str], max_fit: int, precision: float):
     """The boosted trees and their threshold, or None."""
-    mark = F.xxhash64("hit", "before", "after")
-    known = candidates.filter("label IS NOT NULL").withColumn("_mark", mark)
+    known = candidates.filter("label IS NOT NULL").select("label", "hit", "before", "after", *features).distinct()
+    known = staged(known.withColumn("_mark", F.xxhash64("hit", "before", "after", *features)))
     parts = [known.filter(F.col("label") == label).orderBy("_mark", "hit", "before", "after").limit(max_fit) for label in (0.0, 1.0)]
     sample = cut_lineage(VectorAssembler(inputCols=features, outputCol="vector").transform(
         reduce(DataFrame.unionByName, parts).select("label", "_mark", *features)

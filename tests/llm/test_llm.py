@@ -249,6 +249,16 @@ def test_pii(spark, docs):
     assert spark.range(1).select(pii.redact(F.lit("é23456789"), spans)).first()[0] == "é[IP]56[IP]89"
 
 
+def test_pii_copies_of_one_candidate_leave_the_others_in_the_fit(spark):
+    single = spark.range(2000).select(F.format_string("a%d@b.co", "id").alias("hit")).orderBy(F.xxhash64("hit", F.lit(""), F.lit(""))).first().hit
+    made = [single] * 300 + [f"some words {n} and name{n}@host{n}.org behind" for n in range(60)]
+    made += [f"the part {n} has {1000000 + n} lines" for n in range(60)]
+    asked = [f"and so person{n} (at) place{n} (dot) org it is" for n in range(10)]
+    df = spark.createDataFrame(list(enumerate(asked + made)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_spans(df, max_fit=200).collect()}
+    assert all(len(found[n].spans) > len(found[n].base) for n in range(len(asked)))
+
+
 def test_warc_round_trip_with_magic_inside(spark):
     fake = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/é\r\nx", "<p>1"), (2, None, "<p>1"), (3, "u", None), (4, "u", ""), (6, "u", fake * 2), (7, "u", "x WARC/1.0\r\n" * 3), (8, "u", "\r\n\r\nWARC/1.0\r\n")]
