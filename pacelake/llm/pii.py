@@ -4,19 +4,21 @@ Base spans are those of four fixed patterns that pass their checks. Generators w
 propose further, overlapping spans: whatever looks like a written-out address, a number in groups or a
 long token. Gradient-boosted trees score each candidate by its format and by the words around it. They
 learn from candidates that strict rules settle either way; the threshold is the least score at which
-a half kept from the fit has the wanted precision. Candidates at or above it that no base span
+all settled candidates that the fit has not seen have the wanted precision, each class weighted to its
+share in the corpus. Candidates at or above it that no base span
 touches are selected too.
 
 DataFrame and ML functions only. Texts are read once; hits, their distances and the text around
 them go to a narrow table in the shared folder. Everything behind it is linear in the number of hits.
-The fit sees at most ``max_fit`` settled candidates of each class, those with the least hash. Copies of a
-candidate, with the same text around them, count once in the fit and for the threshold.
+The fit sees half of at most ``max_fit`` settled candidates of each class, those with the least hash; the
+threshold is taken from all others. Copies of a candidate, with the same text around them, count once in both.
 
 Patterns are written so that each is linear in the text and never recurses: runs are possessive, and a
 run is only tried at its beginning or right behind the last match, where alone a match can start.
 
 Each row is a document of its own, also if it repeats another; null text counts as empty; null ids
-pass through. Without distinct settled candidates of both classes in either half the base spans are all there is.
+pass through. If the fit or the threshold lacks distinct settled candidates of a class, or no score has
+the wanted precision, the base spans are all there is.
 """
 
 from __future__ import annotations
@@ -178,22 +180,32 @@ def _fit(candidates: DataFrame, features: list[str], max_fit: int, precision: fl
     known = candidates.filter("label IS NOT NULL").select("label", "hit", "before", "after", *features).distinct()
     known = staged(known.withColumn("_mark", F.xxhash64("hit", "before", "after", *features)))
     parts = [known.filter(F.col("label") == label).orderBy("_mark", "hit", "before", "after").limit(max_fit) for label in (0.0, 1.0)]
-    sample = cut_lineage(VectorAssembler(inputCols=features, outputCol="vector").transform(
-        reduce(DataFrame.unionByName, parts).select("label", "_mark", *features)
-    ).select("label", "_mark", "vector"))
-    learn, keep = sample.filter("_mark % 2 = 0"), sample.filter("_mark % 2 <> 0")
-    for half in (learn, keep):
-        if half.select("label").distinct().count() < 2:
-            return None
+    assemble = VectorAssembler(inputCols=features, outputCol="vector").transform
+    sample = cut_lineage(reduce(DataFrame.unionByName, parts))
+    even = F.col("_mark") % 2 == 0
+    learn = cut_lineage(assemble(sample.filter(even)).select("label", "vector"))
+    learnt = {row["label"]: row["count"] for row in learn.groupBy("label").count().collect()}
+    if len(learnt) < 2:
+        return None
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1).fit(learn)
-    scored = model.transform(keep).select("label", F.floor(vector_to_array("probability")[1] * 200).alias("bin"))
-    bins = scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).orderBy(F.desc("bin")).collect()
+    # All that the fit has not seen: the other half, and this half behind the last of the class in the sample.
+    last = {row["label"]: row["last"] for row in sample.groupBy("label").agg(F.max("_mark").alias("last")).collect()}
+    seen = reduce(Column.__or__, [(F.col("label") == label) & (F.col("_mark") <= mark) for label, mark in last.items()])
+    scored = model.transform(assemble(known.filter(~(even & seen)))).select("label", F.floor(vector_to_array("probability")[1] * 200).alias("bin"))
+    bins = scored.groupBy("bin", "label").count().orderBy(F.desc("bin")).collect()
+    kept = {label: sum(row["count"] for row in bins if row["label"] == label) for label in learnt}
+    if not all(kept.values()):
+        return None
+    counts = {}
+    for row in bins:
+        # Those kept of a class stand for all of it, so that the classes have the ratio they have in the corpus.
+        counts.setdefault(row["bin"], {})[row["label"]] = row["count"] * (1 + learnt[row["label"]] / kept[row["label"]])
     total = right = 0.0
     threshold = None
-    for row in bins:
-        total, right = total + row["n"], right + row["hits"]
+    for at, of in counts.items():
+        total, right = total + sum(of.values()), right + of.get(1.0, 0.0)
         if right >= precision * total:
-            threshold = row["bin"] / 200
+            threshold = at / 200
     return None if threshold is None else (model, threshold)
 
 

@@ -259,6 +259,18 @@ def test_pii_copies_of_one_candidate_leave_the_others_in_the_fit(spark):
     assert all(len(found[n].spans) > len(found[n].base) for n in range(len(asked)))
 
 
+def test_pii_threshold_is_that_of_all_settled_candidates(spark):
+    # Of 4,000 harmless candidates 100 look like half of the 400 personal ones.
+    looks = [(1.0, 2.0)] * 200 + [(1.0, 1.0)] * 200 + [(0.0, 1.0)] * 100 + [(0.0, 0.0)] * 3900
+    rows = [(label, f"hit {n}", "", "", look) for n, (label, look) in enumerate(looks)]
+    df = spark.createDataFrame(rows, "label double, hit string, before string, after string, look double")
+    for max_fit in (60, 10_000):
+        model, threshold = pii._fit(df, ["look"], max_fit, 0.99)
+        vectors = pii.VectorAssembler(inputCols=["look"], outputCol="vector").transform(df)
+        chosen = model.transform(vectors).filter(pii.vector_to_array("probability")[1] >= threshold).groupBy("look").count().collect()
+        assert [tuple(r) for r in chosen] == [(2.0, 200)]
+
+
 def test_warc_round_trip_with_magic_inside(spark):
     fake = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/é\r\nx", "<p>1"), (2, None, "<p>1"), (3, "u", None), (4, "u", ""), (6, "u", fake * 2), (7, "u", "x WARC/1.0\r\n" * 3), (8, "u", "\r\n\r\nWARC/1.0\r\n")]
