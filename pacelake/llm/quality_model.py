@@ -2,12 +2,13 @@
 
 A document's worth is a linear function of features of its whole text. Preference pairs (a good
 and a bad labelled document) give a logistic loss on feature differences, which Newton steps
-minimise. The threshold is a quantile of the worth of labelled documents: the share of bad ones among
+minimise. The threshold is a quantile of the worth of all labelled documents: the share of bad ones among
 them, moved into the widest gap nearby. ``score`` is the Bradley-Terry probability that the
 document beats one at the threshold, shifted so that the threshold has the wanted score.
 
 The fit sees at most ``max_labelled`` labelled documents of each class, those with the least hash
-of their id, so it is the same on every run; everything else covers all rows.
+of their id, so it is the same on every run; everything else covers all rows. For the threshold the worth
+of all labelled documents is ranked in Spark; of the gaps only the widest of each slice reaches the driver.
 
 Null text counts as empty and is scored like any text without words. Null labels teach nothing,
 nor do ids with both labels. Repeated rows get equal scores. Without labels of both classes every document
@@ -17,14 +18,17 @@ scores 1: nothing is known against it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pacelake.session import staged
+
 MAX_LABELLED = 10_000
 """Labelled documents of each class that the fit sees at most."""
 
@@ -96,7 +100,7 @@ def worth(features: np.ndarray, model: Model) -> np.ndarray:
 
 
 def fit_pairs(features: np.ndarray, good: np.ndarray, pairs_each: int = PAIRS_EACH) -> Model:
-    """Newton steps on the logistic loss of the worth differences of (good, bad) pairs."""
+    """Newton steps on the logistic loss of the worth differences of (good, bad) pairs; no threshold yet."""
     scale = features.std(axis=0)
     model = Model(features.mean(axis=0).tolist(), np.where(scale > 1e-9, scale, 1.0).tolist(), [], 0.0)
     x = _standard(features, model)
@@ -114,13 +118,7 @@ def fit_pairs(features: np.ndarray, good: np.ndarray, pairs_each: int = PAIRS_EA
         weights += step
         if np.abs(step).max() < 1e-6:
             break
-    value = x @ weights
-    # The score quantile that rejects as many as there are bad ones, at the widest gap within 2 %.
-    ordered, share = np.sort(value), (~good).mean()
-    low, high = (int(np.clip((share + d) * len(ordered), 1, len(ordered) - 1)) for d in (-0.02, 0.02))
-    gaps = ordered[low : high + 1] - ordered[low - 1 : high]
-    at = low + int(np.argmax(gaps))
-    return model._replace(weights=weights.tolist(), threshold=float(ordered[at - 1] + ordered[at]) / 2)
+    return model._replace(weights=weights.tolist())
 
 
 def _featured(docs: DataFrame, text_col: str) -> DataFrame:
@@ -135,6 +133,44 @@ def _featured(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _worths(rows: DataFrame, model: Model) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = worth(np.array(batch.column("features").to_pylist()).reshape(-1, len(FEATURES)), model)
+            yield pa.RecordBatch.from_pydict({"worth": pa.array(values, pa.float64())})
+
+    return rows.select("features").mapInArrow(run, "worth double")
+
+
+def widest_gap(worths: DataFrame, share: float) -> float:
+    """The middle of the widest gap of the column ``worth`` within 2 % of its quantile ``share``.
+
+    Distinct values are sorted by range; each slice sends its row count and ends, then its widest gap.
+    """
+    values = worths.groupBy("worth").agg(F.count("*").alias("n"))
+    sliced = staged(values.repartitionByRange("worth").withColumn("slice", F.spark_partition_id()))
+    ends = F.sum("n").alias("rows"), F.min("worth").alias("least"), F.max("worth").alias("most")
+    slices = sliced.groupBy("slice").agg(*ends).orderBy("slice").collect()
+    total = sum(one["rows"] for one in slices)
+    low, high = (int(np.clip((share + d) * total, 1, total - 1)) for d in (-0.02, 0.02))
+    # The rank of the first row of each slice, for slices with ranks from low to high.
+    first = dict(zip((one["slice"] for one in slices), np.cumsum([0, *(one["rows"] for one in slices)]).tolist()))
+    near = [one["slice"] for one in slices if first[one["slice"]] <= high and first[one["slice"]] + one["rows"] > low]
+    start = reduce(lambda found, at: found.when(F.col("slice") == at, F.lit(first[at])), near, F.when(F.lit(False), F.lit(0)))
+    order = Window.partitionBy("slice").orderBy("worth")
+    rank = start + F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sliced.filter(F.col("slice").isin(near)).select("slice", "worth", rank.alias("rank"), F.lag("worth").over(order).alias("before"))
+    gap = F.struct((F.col("worth") - F.col("before")).alias("gap"), (-F.col("worth")).alias("turned"), "before")
+    found = ranked.filter(F.col("rank").between(low, high) & F.col("before").isNotNull()).groupBy("slice").agg(F.max(gap).alias("widest")).collect()
+    gaps = [(row["widest"]["gap"], row["widest"]["turned"], row["widest"]["before"]) for row in found]
+    gaps += [(b["least"] - a["most"], -b["least"], a["most"]) for a, b in zip(slices, slices[1:]) if low <= first[b["slice"]] <= high]
+    if not gaps:  # all of these ranks have one value
+        last = ranked.filter(F.col("rank") <= low).agg(F.max("worth")).first()[0]
+        return float(last)
+    _, turned, below = max(gaps)
+    return (below - turned) / 2
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -146,19 +182,20 @@ def fit(
     """The model from all labels given; None unless both classes have a document."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_high")).filter("_low = _high")
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    sample = None
-    for label in (0, 1):
-        part = known.filter(F.col("_low") == label).orderBy(*order).limit(max_labelled)
-        sample = part if sample is None else sample.unionByName(part)
-    # At most 2 * max_labelled ids, so the documents need no shuffle.
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample.select(id_col, "_low")), id_col)
-    rows = _featured(texts, "_text").groupBy(id_col).agg(F.min(F.struct("features", "_low")).alias("one")).select("one.*").collect()
-    good = np.array([row["_low"] == 1 for row in rows], dtype=bool)
-    if not len(rows) or good.all() or not good.any():
+    texts = docs.select(id_col, F.col(text_col).alias("_text")).filter(F.col(id_col).isNotNull())
+    # One document an id; only features travel to the labels.
+    rows = _featured(texts, "_text").groupBy(id_col).agg(F.min("features").alias("features"))
+    rows = staged(rows.join(known.select(id_col, "_low"), id_col))
+    counts = {row["_low"]: row["count"] for row in rows.groupBy("_low").count().collect()}
+    if len(counts) < 2:
         return None
-    order = np.lexsort((*np.array([row["features"] for row in rows]).T, good))
-    return fit_pairs(np.array([row["features"] for row in rows])[order], good[order])
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    sample = [row for label in (0, 1) for row in rows.filter(F.col("_low") == label).orderBy(*order).limit(max_labelled).collect()]
+    good = np.array([row["_low"] == 1 for row in sample], dtype=bool)
+    features = np.array([row["features"] for row in sample])
+    order = np.lexsort((*features.T, good))
+    model = fit_pairs(features[order], good[order])
+    return model._replace(threshold=widest_gap(_worths(rows, model), counts[0] / sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold_score: float = 0.5) -> DataFrame:

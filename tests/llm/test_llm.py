@@ -338,6 +338,35 @@ def test_classifier_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+@pytest.mark.parametrize("max_labelled", [50, 10_000])
+def test_classifier_threshold_is_that_of_all_labelled(spark, docs, max_labelled):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter(~quality_model.held_out())
+    model = quality_model.fit(docs, labels, max_labelled=max_labelled)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    value = np.sort(quality_model.worth(np.array([quality_model.text_features(r.text) for r in rows]), model))
+    share, n = sum(r.quality == 0 for r in rows) / len(rows), len(rows)
+    low, high = (int(np.clip((share + d) * n, 1, n - 1)) for d in (-0.02, 0.02))
+    at = low + int(np.argmax(np.diff(value[low - 1 : high + 1])))
+    assert model.threshold == pytest.approx((value[at - 1] + value[at]) / 2, abs=1e-12)
+    assert abs((value < model.threshold).mean() - share) <= 0.03
+
+
+def test_widest_gap_over_slices(spark):
+    pick = np.random.default_rng(3)
+    for n, share in ((2, 0.5), (3, 0.9), (50, 0.01), (50, 0.5), (5000, 0.3), (5000, 0.98)):
+        value = np.sort(pick.normal(size=n).round(1 if n == 50 else 3))
+        low, high = (int(np.clip((share + d) * n, 1, n - 1)) for d in (-0.02, 0.02))
+        at = low + int(np.argmax(np.diff(value[low - 1 : high + 1])))
+        df = spark.createDataFrame([(float(x),) for x in value], "worth double").repartition(8)
+        for aqe in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            try:
+                assert quality_model.widest_gap(df, share) == pytest.approx((value[at - 1] + value[at]) / 2)
+            finally:
+                spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert quality_model.widest_gap(spark.range(100).select(F.lit(2.5).alias("worth")), 0.3) == 2.5
+
+
 def test_frequent_lines_go(spark):
     rows = [(n, f"boiler plate line {n}\nown words are " + " ".join(chr(97 + n % 26) * (2 + n // 26) + chr(97 + i) for i in range(12 if n else 1)), "h") for n in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
