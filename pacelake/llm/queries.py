@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacelake.llm import (
-    byte_bpe, chat, neighbours, packing, pii, quality_model, quality_rules, simhash, substring_dedup, warc,
+    byte_bpe, chat, divergence, fill_middle, merge_automaton, neighbours, packing, pii, quality_model, quality_rules,
+    simhash, substring_dedup, warc,
 )
 from pacelake.llm.common import table
 
@@ -95,11 +96,36 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = merge_automaton.decode(merge_automaton.encode(docs, "text", path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fill_middle.restore(fill_middle.fill_in_middle(docs))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_byte_bpe, op3_simhash_dedup, op4_nearest_neighbours, op5_quality_classifier,
         op6_chat_format, op7_substring_dedup, op8_best_fit_packing, op9_pii, op10_warc,
+        op11_source_divergence, op12_merge_automaton, op13_fill_in_middle,
     )
 }
 
@@ -108,4 +134,6 @@ ORACLES = {
     "op6_chat_format": chat.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op13_fill_in_middle": fill_middle.ORACLE_SQL,
 }
