@@ -5,10 +5,14 @@ Euclidean over the columns both rows have, scaled by all columns / shared column
 distances go by row id. Rows without such a neighbour take the athlete's mean, then the
 mean over all.
 
-An athlete whose rows fit one task is solved there. A larger one is cut into tiles along
-one column x of the features. As |x - x'| never exceeds the distance, the k-th distance
-found in a row's own tile bounds the tiles that can still matter, and only those are
-visited. Nothing is sampled or capped.
+An athlete whose rows fit one task is solved there. A larger one is cut into tiles, the
+index, written once for all later transforms: donors that know the same of the best
+separating features, the axes, near in these, share a tile. Donors that know several are also cut into tiles
+along each one, for rows that share just that one with them. A tile's box holds the least and greatest value of every feature
+that all its donors know. A row's distance to the box, over whichever of these features the row
+itself knows, bounds its distance to each donor in the tile from below. The tiles
+nearest to a row bound its k-th distances from above; beyond these only the
+tiles that can still matter are visited. Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pacelake.operators.ordering import number_rows, running_sum
+from pacelake.operators.ordering import number_rows
 from pacelake.schemas import IMPUTE_NEIGHBOURS
-from pacelake.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, cut_lineage
+from pacelake.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, cut_lineage, is_small, staged
 
 TILE_ROWS = 4096
 VISIT_ROWS = 4096
 BATCH_ROWS = 20_000
+AXES = 4
+BUCKET_BITS = 4
 _STEP = 64
 
 
@@ -121,6 +127,79 @@ def _search_tiles(keys: list[str], width: int, k: int):
     return run
 
 
+def _choose_tiles(keys: list[str], width: int, k: int, axes: list[int]):
+    """Tiles that rows visit, one output row each.
+
+    Of the cuts of donors that know the same axes, a row takes the one along the axis that it
+    shares with them, if that is a single one, and else the cut by all of them.
+
+    Rows without bounds take, for each column they lack, the tile nearest by its box's middle
+    that has k donors of the column. Rows with bounds ``g`` take
+    every other tile that may hold a donor of a lacking column within that column's bound.
+    """
+
+    def boxes_of(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        sides = (b[[f"{side}{i}" for i in range(width)]].to_numpy(dtype="float64") for side in ("lo", "hi", "have"))
+        return *sides, b["along"].to_numpy(dtype="int64")
+
+    def usable(need: np.ndarray, low: np.ndarray, along: np.ndarray) -> np.ndarray:
+        known, theirs = ~np.isnan(need[:, axes]), ~np.isnan(low[:, axes])
+        shared = known[:, None, :] & theirs[None, :, :]
+        single = (shared.sum(axis=2) == 1) & (theirs.sum(axis=1) > 1)
+        wanted = np.where(single, np.array(axes)[shared.argmax(axis=2)], -1)
+        return wanted == along
+
+    def home(need: np.ndarray, ours: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray) -> np.ndarray:
+        far = np.where(ours, np.minimum(_distances(need, (low + high) / 2), np.finfo("float64").max), np.inf)
+        at = np.zeros(far.shape, dtype=bool)
+        for f in range(width):
+            lacking = np.flatnonzero(np.isnan(need[:, f]))
+            enough = np.flatnonzero(have[:, f] >= k)
+            if len(lacking) and len(enough):
+                far_f = far[np.ix_(lacking, enough)]
+                nearest = np.argmin(far_f, axis=1)
+                found = np.isfinite(far_f[np.arange(len(lacking)), nearest])
+                at[lacking[found], enough[nearest[found]]] = True
+        return at
+
+    def within(need: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray) -> np.ndarray:
+        least = np.zeros((len(need), len(low)))
+        for f in range(width):
+            gap = np.fmax(np.fmax(low[None, :, f] - need[:, f, None], need[:, f, None] - high[None, :, f]), 0.0)
+            least += np.where(np.isnan(gap), 0.0, gap * gap)
+        # A donor shares at most the row's features that some donor of the tile knows.
+        shared = (~np.isnan(need)).astype("float64") @ (have > 0).T.astype("float64")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = np.where(shared > 0, least * (width / shared) * (1 - 1e-9), np.nan)  # room for rounding
+        reached = np.zeros(least.shape, dtype=bool)
+        for f in range(width):
+            lacking = np.isnan(need[:, f])[:, None]
+            reached |= lacking & (have[None, :, f] > 0) & (least <= bound[:, f, None])
+        return reached
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("d_tile")
+        need, tiles, boxes = _matrix(a, width), b["d_tile"].to_numpy(), boxes_of(b)
+        bound = a[[f"g{i}" for i in range(width)]].to_numpy(dtype="float64") if "g0" in a else None
+        rows, found = [np.array([], "int64")], [tiles[:0]]
+        for at, box in _groups(a, b, keys):
+            own = tuple(side[box] for side in boxes)
+            for low in range(0, len(at) if len(box) else 0, _STEP):
+                part = at[low:low + _STEP]
+                ours = usable(need[part], own[0], own[3])
+                visits = home(need[part], ours, *own[:3])
+                if bound is not None:
+                    visits = within(need[part], bound[part], *own[:3]) & ours & ~visits
+                r, t = np.nonzero(visits)
+                rows.append(part[r])
+                found.append(tiles[box[t]])
+        cells = [f"v{i}" for i in range(width)]
+        out = a[[*keys, "rid", *cells]].take(np.concatenate(rows)).reset_index(drop=True)
+        return out.assign(tile=np.concatenate(found))
+
+    return run
+
+
 @dataclass
 class NeighbourImputer:
     """Fitted on a table of donors; fills tables of the same columns.
@@ -183,71 +262,91 @@ class NeighbourImputer:
         need = self._vectors(df).filter(F.exists("v", lambda x: x.isNull()))
         sides = donors.select(*self.block, F.lit(1).alias("d")).union(need.select(*self.block, F.lit(0)))
         sizes = sides.groupBy(*self.block).agg(F.sum("d").alias("d"), F.sum(1 - F.col("d")).alias("r"))
-        is_large = F.greatest("d", "r") > self.tile_rows
-        n_rows, n_large = sizes.agg(F.sum(F.col("d") + F.col("r")), F.count_if(is_large)).first()
-        if not n_large:
+        sizes = cut_lineage(sizes.withColumns({
+            "_indexed": F.col("d") > self.tile_rows, "_parts": F.greatest(F.ceil(F.col("r") / self.tile_rows), F.lit(1)),
+        }))
+        n_rows, n_indexed, n_split = sizes.agg(
+            F.sum(F.col("d") * F.col("_parts") + F.col("r")), F.count_if("_indexed"), F.count_if(F.col("_parts") > 1)
+        ).first()
+        if not n_indexed and not n_split:
             return self._solve_small(need, donors, n_rows or 0)
-        large = sizes.filter(is_large).select(*self.block)
-        key = F.broadcast(large) if n_large <= MAX_BROADCAST_ROWS else large
+        some = sizes.filter("_indexed OR _parts > 1").select(*self.block, "_indexed", "_parts")
+        key = F.broadcast(some) if n_indexed + n_split <= MAX_BROADCAST_ROWS else some
+        need, donors = need.join(key, self.block, "left"), donors.join(key, self.block, "left")
+        indexed = F.coalesce("_indexed", F.lit(False))
+        # Many incomplete rows of few donors are dealt over parts, each with all donors.
+        parts = F.coalesce("_parts", F.lit(1))
         small = self._solve_small(
-            need.join(key, self.block, "left_anti"), donors.join(key, self.block, "left_anti"), n_rows
-        )
-        return small.unionByName(self._solve_large(
-            need.join(key, self.block, "left_semi"), donors.join(key, self.block, "left_semi")
-        ))
-
-    def _solve_small(self, need: DataFrame, donors: DataFrame, n_rows: int) -> DataFrame:
+            need.filter(~indexed).withColumn("part", F.pmod(F.xxhash64("rid"), parts)),
+            donors.filter(~indexed).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))),
+            n_rows, [*self.block, "part"],
+        ).drop("part")
+        if not n_indexed:
+            return small
+        return small.unionByName(self._solve_large(need.filter(indexed).drop("_indexed", "_parts")))
+
+    def _solve_small(self, need: DataFrame, donors: DataFrame, n_rows: int, keys: list[str] | None = None) -> DataFrame:
+        keys = keys or self.block
         cells = [T.StructField(f"v{i}", T.DoubleType()) for i in range(len(self.columns))]
-        run = _fill_blocks(self.block, len(self.columns), self.k)
-        return self._cogroup(need, donors, self.block, n_rows, run, T.StructField("rid", self._id_type), *cells)
+        return self._cogroup(need, donors, keys, n_rows, _fill_blocks(keys, len(self.columns), self.k), T.StructField("rid", self._id_type), *cells)
 
     # -- athletes too large for one task --------------------------------------
 
-    def _solve_large(self, need: DataFrame, donors: DataFrame) -> DataFrame:
-        axis = self._axis(donors)
+    @cached_property
+    def _index(self) -> tuple[DataFrame, DataFrame, list[int]]:
+        """(block, tile, rid, v), the tiles' boxes and the axes, for athletes with more donors than a tile; written once."""
+        donors = self._vectors(self.donors)
+        wide = donors.groupBy(*self.block).agg(F.count("*").alias("n")).filter(F.col("n") > self.tile_rows).drop("n")
+        wide = cut_lineage(wide)
+        donors = donors.join(F.broadcast(wide) if is_small(wide) else wide, self.block, "left_semi")
         # More than k equal rows never matter: the first k by id come before the others.
         same = Window.partitionBy(*self.block, "v").orderBy("rid")
+        donors = donors.filter(F.exists("v", lambda x: x.isNotNull()))
         donors = donors.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= self.k).drop("_r")
-        # Equal incomplete rows have equal answers.
-        asked = need.groupBy(*self.block, "v").agg(F.min("rid").alias("rid"))
+        axes = self._axes(donors)
+        cells = [F.get("v", F.lit(i)) for i, _ in axes]
+        pattern = F.array(*[c.isNotNull() for c in cells]).cast("string")
+        buckets = [F.size(F.filter(F.lit(cuts), lambda cut, c=c: cut < c)) if cuts else F.lit(0) for c, (_, cuts) in zip(cells, axes)]
+        curve = F.lit(0)  # the axes' buckets, bit by bit
+        for bit in reversed(range(BUCKET_BITS)):
+            for bucket in buckets:
+                curve = curve * 2 + F.shiftright(bucket, bit).bitwiseAND(F.lit(1))
+        several = F.size(F.filter(F.array(*[c.isNotNull() for c in cells]), lambda known: known)) > 1
+        cuts = F.array(F.lit(-1), *[F.when(several & c.isNotNull(), F.lit(i)) for c, (i, _) in zip(cells, axes)])
+        placed = donors.withColumns({
+            "_know": pattern, "along": F.explode(F.filter(cuts, lambda i: i.isNotNull())),
+        }).withColumns({
+            "_curve": F.when(F.col("along") < 0, curve).otherwise(0),
+            "_x": F.coalesce(F.when(F.col("along") >= 0, F.get("v", F.col("along"))), *cells, F.lit(0.0)),
+        })
+        placed = number_rows(placed, [*self.block, "_know", "along"], ["_curve", "_x", "rid"], "_pos", self.max_group_rows)
+        nth = F.floor(F.col("_pos") / self.tile_rows)
+        tiles = staged(placed.select(*self.block, F.concat_ws("/", "_know", "along", nth).alias("tile"), "along", "rid", "v"))
+        sides = []
+        for i in range(len(self.columns)):
+            c = F.get("v", F.lit(i))
+            full = F.count(c) == F.count("*")
+            sides += [F.when(full, F.min(c)).alias(f"lo{i}"), F.when(full, F.max(c)).alias(f"hi{i}"), F.count(c).alias(f"have{i}")]
+        return tiles.drop("along"), staged(tiles.groupBy(*self.block, "tile", "along").agg(*sides)), [i for i, _ in axes]
+
+    def _axes(self, donors: DataFrame) -> list[tuple[int, list[float]]]:
+        """The features that separate best, widely spread and known in many rows, each with cuts into buckets."""
+        cells = [F.get("v", F.lit(i)) for i in range(len(self.columns))]
+        shares = [i / 2**BUCKET_BITS for i in range(1, 2**BUCKET_BITS)]
+        row = donors.agg(*[F.coalesce(F.stddev_pop(c) * F.count(c), F.lit(0.0)) for c in cells]).first()
+        best = sorted(range(len(cells)), key=lambda i: (-row[i], i))[:AXES]
+        cuts = donors.agg(*[F.percentile_approx(cells[i], shares) for i in best]).first()
+        return [(i, list(c or [])) for i, c in zip(best, cuts)]
 
-        x = F.get("v", F.lit(axis))
-        placed = number_rows(
-            donors.withColumn("_x", F.coalesce(x, F.lit(float("inf")))), self.block, ["_x", "rid"], "_pos",
-            self.max_group_rows,
-        )
-        tiles = cut_lineage(placed.withColumn("tile", F.floor(F.col("_pos") / self.tile_rows)).drop("_pos"))
-        known = tiles.groupBy(*self.block).agg(
-            F.max("tile").alias("_last"),
-            F.count_if(F.col("_x") < float("inf")).alias("_with_x"),
-        )
-        rows = cut_lineage(asked.withColumn("_x", x).join(known, self.block))
-
-        home = self._rank(tiles, rows, "_at", F.coalesce(F.col("_x"), F.lit(float("-inf"))))
-        home = home.withColumn("tile", F.least(F.floor(F.col("_at") / self.tile_rows), F.col("_last")))
-        near = self._nearest(cut_lineage(home.select(*self.block, "rid", "v", "tile")), tiles)
-        bound = self._bounds(near)
-
-        # A bound holds only if the own tile had k donors for every missing column.
-        missing = F.size(F.filter("v", lambda e: e.isNull()))
-        rows = cut_lineage(rows.join(bound, [*self.block, "rid"], "left"))
-        reach = F.when(F.col("_cells") == missing, F.sqrt("_bound") * (1 + 1e-9))  # room for rounding
-        low = F.coalesce(F.col("_x") - reach, F.lit(float("-inf")))
-        high = F.coalesce(F.col("_x") + reach, F.lit(float("inf")))
-        rows = self._rank(tiles, rows, "_from", low)
-        rows = self._rank(tiles, rows, "_to", high, inclusive=True)
-        first = F.floor(F.col("_from") / self.tile_rows)
-        last = F.least(F.floor(F.col("_to") / self.tile_rows), F.col("_last"))
-        first_without_x = F.greatest(F.floor(F.col("_with_x") / self.tile_rows), last + 1)
-        spans = F.concat(
-            F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")),
-            F.when(first_without_x <= F.col("_last"), F.sequence(first_without_x, F.col("_last")))
-            .otherwise(F.array().cast("array<bigint>")),
-        )
-        visits = cut_lineage(rows.select(*self.block, "rid", "v", F.explode(spans).alias("tile")))
-        near = self._nearest(visits, tiles)
+    def _solve_large(self, need: DataFrame) -> DataFrame:
+        tiles, boxes, axes = self._index
+        # Equal incomplete rows have equal answers.
+        asked = cut_lineage(need.groupBy(*self.block, "v").agg(F.min("rid").alias("rid")))
+        near = cut_lineage(self._nearest(cut_lineage(self._visits(asked, boxes, axes)), tiles))
+        bounded = cut_lineage(asked.join(self._bounds(near), [*self.block, "rid"], "left"))
+        more = self._nearest(cut_lineage(self._visits(bounded, boxes, axes)), tiles)
         rank = Window.partitionBy(*self.block, "rid", "f").orderBy("dist", "donor")
-        best = near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= self.k)
+        best = near.unionByName(more).withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= self.k)
         means = best.groupBy(*self.block, "rid", "f").agg(F.avg("value").alias("value"))
         cells = means.groupBy(*self.block, "rid").agg(
             F.map_from_entries(F.collect_list(F.struct("f", "value"))).alias("_cells")
@@ -261,22 +360,35 @@ class NeighbourImputer:
             F.get("filled", F.lit(i)).alias(f"v{i}") for i in range(len(self.columns))
         ])
 
-    def _axis(self, donors: DataFrame) -> int:
-        """The feature that separates best: widely spread and known in many rows."""
-        cells = [F.get("v", F.lit(i)) for i in range(len(self.columns))]
-        row = donors.agg(*[F.coalesce(F.stddev_pop(c) * F.count(c), F.lit(0.0)) for c in cells]).first()
-        return max(range(len(cells)), key=lambda i: row[i])
-
-    def _rank(self, tiles: DataFrame, rows: DataFrame, name: str, at, inclusive: bool = False) -> DataFrame:
-        """Add the number of donors of the block with x below (or up to) ``at``."""
-        side = F.lit(2 if inclusive else 0)
-        marks = rows.select(*self.block, at.alias("_t"), side.alias("_s"), F.struct(*[
-            c for c in rows.columns if c not in self.block]).alias("_row"), F.col("rid").alias("_id"))
-        donors = tiles.select(*self.block, F.col("_x").alias("_t"), F.lit(1).alias("_s"), F.col("rid").alias("_id"))
-        both = donors.unionByName(marks, allowMissingColumns=True)
-        one = F.when(F.col("_s") == 1, F.lit(1)).otherwise(F.lit(0)).cast("long")
-        counted = running_sum(both, self.block, ["_t", "_s", "_id"], one, name, self.max_group_rows)
-        return counted.filter("_row IS NOT NULL").select(*self.block, "_row.*", name)
+    def _visits(self, rows: DataFrame, boxes: DataFrame, axes: list[int]) -> DataFrame:
+        """(block, rid, v, tile): the tiles near to each row, or with ``_bounds`` the others within these.
+
+        Rows of an athlete are spread over parts, each of which gets the athlete's boxes.
+        """
+        width = len(self.columns)
+        counts = rows.groupBy(*self.block).agg(F.ceil(F.count("*") / VISIT_ROWS).alias("_parts"))
+        spread = rows.join(counts, self.block).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("_parts")))
+        keys = [*self.block, "part"]
+        n_rows = counts.agg(F.sum("_parts")).first()[0] or 0
+        batches = max(rows.sparkSession.sparkContext.defaultParallelism, n_rows * VISIT_ROWS // BATCH_ROWS)
+        left = self._cells(spread, *keys)
+        if "_bounds" in rows.columns:
+            # A column without k donors so far has no bound.
+            limits = [F.coalesce(F.try_element_at("_bounds", F.lit(i)), F.lit(float("inf"))).alias(f"g{i}") for i in range(width)]
+            cells = [F.get("v", F.lit(i)).alias(f"v{i}") for i in range(width)]
+            left = spread.select(*keys, "rid", *cells, *limits)
+        copied = boxes.join(counts, self.block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        right = copied.select(*[F.col(c).alias(f"d_{c}") for c in [*keys, "tile"]], "along", *[
+            f"{side}{i}" for side in ("lo", "hi", "have") for i in range(width)
+        ])
+        left = left.withColumn("batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+        right = right.withColumn("d_batch", F.pmod(F.xxhash64(*[f"d_{c}" for c in keys]), F.lit(batches)))
+        schema = T.StructType([
+            *[left.schema[c] for c in [*keys, "rid", *[f"v{i}" for i in range(width)]]], T.StructField("tile", T.StringType()),
+        ])
+        chosen = left.groupBy("batch").cogroup(right.groupBy("d_batch")).applyInPandas(_choose_tiles(keys, width, self.k, axes), schema)
+        vector = F.array(*[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")) for i in range(width)])
+        return chosen.select(*self.block, "rid", vector.alias("v"), "tile")
 
     def _nearest(self, visits: DataFrame, tiles: DataFrame) -> DataFrame:
         """Nearest donors per visiting row and missing column, tile by tile.
@@ -303,15 +415,12 @@ class NeighbourImputer:
         return found.drop("tile", "part")
 
     def _bounds(self, near: DataFrame) -> DataFrame:
-        """Squared distance no needed neighbour exceeds; absent where a column lacks k donors."""
-        per_cell = near.groupBy(*self.block, "rid", "f").agg(
-            F.count("*").alias("n"), F.max("dist").alias("dist")
+        """Squared distance of the k-th donor so far, by column that has k."""
+        per_cell = near.groupBy(*self.block, "rid", "f").agg(F.array_sort(F.collect_list("dist")).alias("dist"))
+        per_cell = per_cell.filter(F.size("dist") >= self.k).select(
+            *self.block, "rid", F.struct("f", F.get("dist", F.lit(self.k - 1)).alias("dist")).alias("e")
         )
-        worst = per_cell.groupBy(*self.block, "rid").agg(
-            F.max(F.when(F.col("n") >= self.k, F.col("dist")).otherwise(float("inf"))).alias("_bound"),
-            F.count("*").alias("_cells"),
-        )
-        return worst.select(*self.block, "rid", "_bound", "_cells")
+        return per_cell.groupBy(*self.block, "rid").agg(F.map_from_entries(F.collect_list("e")).alias("_bounds"))
 
     # -- no neighbour ----------------------------------------------------------
 
@@ -319,11 +428,17 @@ class NeighbourImputer:
     def _overall(self) -> list[float | None]:
         return list(self.donors.agg(*[F.avg(F.col(f"`{c}`")) for c in self.columns]).first())
 
+    @cached_property
+    def _block_means(self) -> DataFrame:
+        """Means of each block, written once for all later transforms."""
+        return staged(self.donors.groupBy(*self.block).agg(*[
+            F.avg(F.col(f"`{c}`")).alias(f"_m{i}") for i, c in enumerate(self.columns)
+        ]))
+
     def _with_means(self, df: DataFrame) -> DataFrame:
         names = {c: f"_m{i}" for i, c in enumerate(self.columns)}
-        means = self.donors.groupBy(*self.block).agg(*[F.avg(F.col(f"`{c}`")).alias(m) for c, m in names.items()])
         fallback = {c: F.lit(v).cast("double") for c, v in zip(self.columns, self._overall)}
-        return df.join(means, self.block, "left").withColumns({
+        return df.join(self._block_means, self.block, "left").withColumns({
             c: F.coalesce(F.col(f"`{c}`"), m, fallback[c]) for c, m in names.items()
         }).drop(*names.values())
 

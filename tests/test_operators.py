@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pacelake.functions import cyclic, scalars as S
 from pacelake.operators import cleaning, features, ordering, profile, quantiles, reports, windows
-from pacelake.operators.impute import fit_neighbour_imputer
+from pacelake.operators.impute import NeighbourImputer, fit_neighbour_imputer
 from pacelake.operators.quantiles import exact_quantiles
 
 T0 = dt.datetime(2024, 1, 1, 6, 0)
@@ -313,6 +313,37 @@ def test_imputation_equals_brute_force(spark, tile_rows):
     assert got[2, 7]["b"] == pytest.approx(np.nanmean(x[:, 1]))
 
 
+@pytest.mark.parametrize("spread", [1.0, 50.0])
+def test_large_athlete_with_holes_visits_few_tiles(spark, spread):
+    """4,000 rows, a third of all cells missing; the values are those of brute force, and the index is written once."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (4000, 3)) * [1.0, spread, 1.0]
+    x[:, 2] = x[:, 0] + rng.normal(0, 0.05, 4000)
+    x[rng.random(x.shape) < 1 / 3] = np.nan
+    rows = [(1, i, *(None if np.isnan(v) else float(v) for v in row)) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "user_id long, id long, a double, b double, c double").repartition(4)
+    model = fit_neighbour_imputer(df, ["a", "b", "c"], "id", tile_rows=50)
+    visited = []
+    nearest = NeighbourImputer._nearest
+    model._nearest = lambda visits, tiles: visited.append(visits.count()) or nearest(model, visits, tiles)
+    got = {r["id"]: [r["a"], r["b"], r["c"]] for r in model.transform(df).collect()}
+    whole = fit_neighbour_imputer(df, ["a", "b", "c"], "id", tile_rows=10**6)
+    want = {r["id"]: [r["a"], r["b"], r["c"]] for r in whole.transform(df).collect()}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[i] for i in sorted(got)], [want[i] for i in sorted(want)], rtol=1e-9)
+    asked = int(np.isnan(x).any(axis=1).sum())
+    tiles = model._index[1].count()
+    assert tiles >= 80 and sum(visited) / asked < 12, (tiles, sum(visited) / asked)
+    assert model._index is model._index
+
+
+def test_many_incomplete_rows_of_few_donors_are_dealt_over_parts(spark):
+    donors = spark.createDataFrame([(1, i, float(i), float(i % 3)) for i in range(12)], "user_id long, id long, a double, b double")
+    rows = spark.createDataFrame([(1, 100 + i, i / 7, None) for i in range(90)], donors.schema)
+    small, split = (fit_neighbour_imputer(donors, ["a", "b"], "id", tile_rows=n).transform(rows) for n in (1000, 20))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, split.collect()))
+
+
 def test_imputation_does_not_depend_on_partitions(spark):
     df = spark.range(300).select(
         (F.col("id") % 4).alias("user_id"), "id", F.when(F.col("id") % 5 != 0, F.col("id") % 13).cast("double").alias("a"),
