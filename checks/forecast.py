@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from checks.features import _history, _named
+from checks.features import LABELS, SPORTS, _history, _named
 from checks.registry import query
-from pacelake.operators import forecast as M, windows
+from pacelake.operators import forecast as M, linear, windows
 from pacelake.operators.ordering import newest_per_key
-from pacelake.schemas import MODEL_SPORTS
+from pacelake.schemas import BENEFIT_LABELS, MODEL_SPORTS
 from pacelake.session import scratch_dir
 
-CONFIG = M.Config(window_rows=10, mode="asof")
+WINDOW = 60
+CONFIG = M.Config(window_rows=WINDOW, mode="asof")
 _MODELS: dict[tuple[str, str], M.ForecastModel] = {}
 
 
@@ -129,11 +131,11 @@ PAST = """
     r AS (SELECT s.user_id, s.activity_id, s.session_no, s.sport, h.row_id, (distance - mid) / wide AS d,
         row_number() OVER (PARTITION BY s.activity_id ORDER BY h.begin_ts DESC, h.row_id DESC) AS rn
       FROM q, s LEFT JOIN h ON h.user_id = s.user_id AND h.begin_ts < date_trunc('second', s.start_time)
-      WHERE s.session_no >= 10)
+      WHERE s.session_no >= {WINDOW})
     SELECT user_id, activity_id, session_no, CAST(count(row_id) AS INT) AS window_rows,
       CASE WHEN sport = 'running' THEN 1.0 ELSE 0.0 END AS sport_running,
       round(coalesce(avg(d), 0), 6) AS distance_mean, round(coalesce(arg_min(d, rn), 0), 6) AS distance_last
-    FROM r WHERE rn <= 10 GROUP BY user_id, activity_id, session_no, sport""")
+    FROM r WHERE rn <= {WINDOW} GROUP BY user_id, activity_id, session_no, sport""")
 def _(v):
     out = _matrix(v)
     columns = _model(v).history_encoder.feature_columns
@@ -147,7 +149,7 @@ def _(v):
 
 @query("m2_fit_and_predict_encoded")
 def _(v):
-    return _model(v).predict_encoded(_matrix(v).select("user_id", "activity_id", "features")).drop("features")
+    return _model(v).predict_encoded(_matrix(v).select("user_id", "activity_id", "features"))
 
 
 @query("m3_huber_loss")
@@ -159,11 +161,87 @@ def _(v):
 
 @query("m4_separate_sport_classifier")
 def _(v):
-    model = _model(v)
-    sport = M.fit_sport_classifier(_matrix(v), model.session_encoder.one_hot)
-    both = M.ForecastModel(CONFIG, model.history_encoder, model.session_encoder, {
-        t: m for t, m in model.learners.items() if not t.startswith("sport_")}, sport)
-    return both.predict_for_last_days(_history(v), 1)
+    heads = M.train(_history(v), _named(v), replace(CONFIG, softmax_heads=True))
+    return heads.predict_for_last_days(_history(v), 1)
+
+
+def _around(index, classes):
+    """A place on a circle for each class, with some noise by activity."""
+    angle = index.cast("double") * (2 * np.pi / classes)
+    noise = F.pmod(F.col("activity_id") * 7919, F.lit(100)) / 500
+    return F.cos(angle) + noise, F.sin(angle) - noise
+
+
+@query("m4_two_softmax_heads", f"""
+    SELECT activity_id, sport, CASE CAST(coalesce(benefit, 0) AS INT) {LABELS} END AS benefit FROM sessions_v
+    WHERE coalesce(benefit, 0) < 8""")
+def _(v):
+    """Two heads from one pass; code 8 has no label that a head could learn."""
+    encoder = _model(v).session_encoder
+    hot = encoder.one_hot
+    sport = F.array_position(F.array(*map(F.lit, SPORTS)), F.col("sport"))
+    seen = F.array(*_around(sport, len(SPORTS)), *_around(F.coalesce("188", F.lit(0.0)), len(BENEFIT_LABELS)))
+    given = _named(v).filter(F.coalesce("188", F.lit(0.0)) < 8).select("activity_id", array_to_vector(seen).alias("features"))
+    targets = [n for c in hot.values for n in hot.names(c)]
+    fitted, _ = M.fit_linear(encoder.transform(_named(v)).join(given, "activity_id"), targets, hot)
+    out = hot.inverse_transform(linear.predict_each({"heads": fitted}, given))
+    return out.select("activity_id", "sport", F.col("188").alias("benefit"))
+
+
+@query("m1_planted_lag", f"""{NAIVE}
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_time, activity_id) - 1 AS i FROM sessions_v),
+    r AS (SELECT s.activity_id, h.load, row_number() OVER (PARTITION BY s.activity_id ORDER BY h.pos DESC) AS rn
+      FROM s LEFT JOIN h ON h.user_id = s.user_id AND h.begin_ts < date_trunc('second', s.start_time) WHERE s.i >= {WINDOW})
+    SELECT activity_id, round(5 + 3 * coalesce(max(load) FILTER (WHERE rn = 17), 0)
+      - 2 * coalesce(max(load) FILTER (WHERE rn = 42), 0), 3) AS predicted FROM r GROUP BY activity_id""")
+def _(v):
+    """What a workout owes to two single days long before: only whole windows can show it."""
+    framed = windows.training_windows(_loads(v), v.sessions, ["x"], n=WINDOW, mode="asof")
+    rows = windows.flat_matrix(framed, 1, WINDOW).select("activity_id", F.col("matrix").alias("features"))
+    ago = {days: F.get("features", F.lit(WINDOW - days)) for days in (17, 42)}
+    rows = rows.withColumn("owed", 5 + 3 * ago[17] - 2 * ago[42])
+    fitted = linear.ridge(linear.grams(rows, ["owed"])[0], ["predicted"], 0.0)
+    return linear.predict_each({"flat": fitted}, rows.select("activity_id", "features")).select(
+        "activity_id", F.round("predicted", 3).alias("predicted"))
+
+
+@query("m2_many_targets_at_once", """
+    SELECT row_id, k AS target, round(k * load - (k % 5) * coalesce(avg_speed, 0.0) + k, 4) AS predicted
+    FROM history_v, (SELECT unnest(range(1, 25)) AS k)""")
+def _(v):
+    speed = F.coalesce("avg_speed", F.lit(0.0))
+    numbers = [str(k) for k in range(1, 25)]
+    rows = v.history.select("row_id", F.array("load", speed).alias("features"), *[
+        (int(k) * F.col("load") - int(k) % 5 * speed + int(k)).alias(k) for k in numbers
+    ])
+    fitted = linear.ridge(linear.grams(rows, numbers)[0], numbers, 0.0)
+    out = linear.predict_each({"all": fitted}, rows.select("row_id", "features")).drop("model_name")
+    found = out.unpivot("row_id", numbers, "target", "predicted")
+    return found.select("row_id", F.col("target").cast("long").alias("target"), F.round("predicted", 4).alias("predicted"))
+
+
+@query("m7_rounds_stop_early", """
+    SELECT target, TRUE AS error_is_that_of_predictions, TRUE AS best_round_is_least, TRUE AS stopped_in_time
+    FROM (SELECT unnest(['far', 'near', 'noise']) AS target) WHERE (SELECT count(*) FROM history_v) > 0""")
+def _(v):
+    """Held-out rows follow the rest, follow it less, or not at all."""
+    speed, held = F.coalesce("avg_speed", F.lit(0.0)), (F.col("row_id") % 10 == 0).cast("int")
+    targets, patience = ["near", "far", "noise"], 10
+    shaken = F.pmod(F.col("row_id") * 104729, F.lit(1000)) / 10.0
+    rows = v.history.select("row_id", held.alias("held_out"), F.array("load", speed).alias("features"), *[x.alias(t) for t, x in zip(
+        targets, (2 * F.col("load") + 3 * speed, (2 - held * 1.5) * F.col("load") + shaken, shaken))])
+    found = linear.grams(rows, targets, part="held_out")
+    fitted, rounds = linear.descend(found[0], found[1], targets, rounds=50, patience=patience)
+    guessed = linear.predict_each({"": replace(fitted, rows=[f"{t}_guess" for t in targets])}, rows.filter("held_out = 1"))
+    def flags(t):
+        curve, best = rounds.errors[t], rounds.best[t]
+        error = F.avg((F.col(t) - F.col(f"{t}_guess")) ** 2)
+        return F.struct(
+            F.lit(t).alias("target"), (F.abs(error - curve[best]) <= 1e-6 * (1 + error)).alias("error_is_that_of_predictions"),
+            F.lit(curve[best] == min(curve)).alias("best_round_is_least"),
+            F.lit(len(curve) - 1 <= min(50, best + patience)).alias("stopped_in_time"),
+        )
+    return guessed.agg(F.array(*map(flags, targets)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("m5_model_per_sport")
@@ -290,9 +368,43 @@ def _(v):
 @query("m13_next_activity_per_model")
 def _(v):
     model = _model(v)
-    ridge = M.fit_learners(_matrix(v), list(model.learners), lambda: LinearRegression(solver="normal", regParam=0.5))
-    other = M.ForecastModel(CONFIG, model.history_encoder, model.session_encoder, ridge)
-    return M.per_model({"plain": model, "ridge": other}, _history(v))
+    matrix, targets = _matrix(v), model.session_encoder.feature_columns
+    gram = linear.grams(matrix, targets)[0]
+    others = {
+        name: replace(model, linear=linear.ridge(gram, targets, penalty)) for name, penalty in (("firm", 0.5), ("stiff", 50.0))
+    }
+    return M.per_model({"plain": model} | others, _history(v))
+
+
+MODELS = {"mean": (0.0, [1.0, 0.0, 0.0]), "last": (0.0, [0.0, 1.0, 0.0]), "rising": (10.0, [1.0, 0.0, 2.0])}
+_SHARES = " UNION ALL ".join(
+    f"SELECT '{name}' AS model_name, {a} AS a, {w[0]} AS wm, {w[1]} AS wl, {w[2]} AS wt" for name, (a, w) in MODELS.items())
+
+
+@query("m13_compare_models", f"""{NAIVE}
+    w AS (SELECT user_id, max(begin_ts) AS newest FROM history_v GROUP BY user_id),
+    j AS (SELECT w.user_id, h.load, row_number() OVER (PARTITION BY w.user_id ORDER BY h.pos DESC) AS rn
+      FROM w LEFT JOIN h ON h.user_id = w.user_id AND h.begin_ts < date_trunc('second', w.newest)),
+    k AS (SELECT user_id, load, rn, count(load) OVER (PARTITION BY user_id) AS n,
+        row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS nth FROM j WHERE rn BETWEEN 2 AND 21),
+    f AS (SELECT user_id, coalesce(avg(load), 0) AS m, coalesce(arg_min(load, rn), 0) AS l,
+        coalesce(sum(load) FILTER (WHERE nth > n // 2) / greatest(max(n) - max(n) // 2, 1), 0)
+        - coalesce(sum(load) FILTER (WHERE nth <= n // 2) / greatest(max(n) // 2, 1), 0) AS t FROM k GROUP BY user_id),
+    models AS ({_SHARES}),
+    c AS (SELECT h.user_id, max(h.begin_ts) AS since FROM h JOIN w ON h.user_id = w.user_id
+      AND h.begin_ts < date_trunc('second', w.newest - to_days(1)) GROUP BY h.user_id)
+    SELECT 'predictions' AS source, user_id, model_name, round(a + wm * m + wl * l + wt * t, 4) AS total_calories FROM f, models
+    UNION ALL SELECT 'reals', s.user_id, model_name, round(s.total_calories, 4) FROM sessions_v s JOIN c ON s.user_id = c.user_id
+      AND date_trunc('second', s.start_time) >= date_trunc('second', c.since), models""")
+def _(v):
+    tables = {
+        name: linear.LinearTargets(["total_calories"], np.array([a]), np.array([w])) for name, (a, w) in MODELS.items()
+    }
+    framed = windows.summarise(windows.windows_for_last_days(_loads(v), ["x"], 1, n=20), 1)
+    ready = framed.select("user_id", F.concat("window_mean", "window_last", "window_trend").alias("features"))
+    predicted = linear.predict_each(tables, ready)
+    out = M.compare_models(predicted, v.history, v.sessions, 1, begin="begin_ts")
+    return out.withColumn("total_calories", F.round("total_calories", 4))
 
 
 @query("m13_compare_next")

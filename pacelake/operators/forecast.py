@@ -1,8 +1,8 @@
 """Forecast of an athlete's next workout from the window of history rows before it.
 
-Windows are cut from encoded history, reduced to mean, last value and trend per feature,
-and a distributed learner is fitted per encoded session column. Predictions are decoded
-with the session encoder.
+Windows are cut from encoded history and reduced to mean, last value and trend per feature, or laid out
+flat, row after row. By default all encoded session columns are fitted from one pass over these, categories as numbers
+or as softmax heads; other learners are fitted per column. Predictions are decoded with the session encoder.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -21,14 +22,15 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pacelake.functions import scalars as S
-from pacelake.operators import windows
+from pacelake.operators import linear, windows
 from pacelake.operators.features import EncoderModel, OneHot, fit_history_encoder, fit_session_encoder
-from pacelake.operators.merge import tag_union
+from pacelake.operators.merge import rows_per_model, tag_union
 from pacelake.operators.ordering import newest_time, number_rows
 from pacelake.schemas import MODEL_SPORTS, SESSION_STAMINA, SESSION_TIMES, WINDOW_ROWS
 from pacelake.session import cut_lineage, staged
 
 USER = "user_id"
+MAX_MODELS = 1000
 PARALLEL_FITS = 4  # independent fits over one stored matrix
 
 
@@ -56,6 +58,10 @@ class Config:
     begin: str = "beginTimestamp"
     start: str = "start_time"
     classify_sport: bool = False
+    softmax_heads: bool = False
+    flat: bool = False
+    rounds: int = 50
+    patience: int = 10
     history_options: dict = field(default_factory=dict)
     session_options: dict = field(default_factory=dict)
 
@@ -74,8 +80,13 @@ def encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config) -> Da
     return staged(_encode_history(encoder, history, cfg))
 
 
-def _summary_vector() -> Column:
-    return array_to_vector(F.concat("window_mean", "window_last", "window_trend"))
+def _with_features(framed: DataFrame, width: int, cfg: Config) -> DataFrame:
+    """Add ``features`` and ``window_rows`` to rows with a ``window``."""
+    if cfg.flat:
+        flat = windows.flat_matrix(framed.withColumn("window_rows", F.size("window")), width, cfg.window_rows)
+        return flat.withColumn("features", array_to_vector("matrix")).drop("matrix", "padded_rows")
+    summary = windows.summarise(framed, width)
+    return summary.withColumn("features", array_to_vector(F.concat("window_mean", "window_last", "window_trend")))
 
 
 def training_matrix(
@@ -93,9 +104,9 @@ def training_matrix(
         past, targets, ["x"], begin=cfg.begin, row_id=cfg.history_id, start=cfg.start,
         session_id=cfg.session_id, n=cfg.window_rows, mode=cfg.mode,
     )
-    out = windows.summarise(framed, len(history_encoder.feature_columns))
+    out = _with_features(framed, len(history_encoder.feature_columns), cfg)
     return out.select(
-        USER, cfg.session_id, cfg.start, "session_no", "window_rows", _summary_vector().alias("features"),
+        USER, cfg.session_id, cfg.start, "session_no", "window_rows", "features",
         *[F.col(f"`{c}`") for c in session_encoder.feature_columns],
     )
 
@@ -120,19 +131,33 @@ class ForecastModel:
     session_encoder: EncoderModel
     learners: dict[str, Model]
     sport_learner: LogisticRegressionModel | None = None
+    linear: linear.LinearTargets | None = None
+    rounds: linear.Rounds | None = None
 
     def predict_encoded(self, df: DataFrame) -> DataFrame:
-        """Add one predicted column per encoded target."""
+        """One predicted column per encoded target; ``features`` stay only for learners per column."""
+        if self.linear is not None:
+            return linear.predict_each({"": self.linear}, df).drop("model_name")
         for target, learner in self.learners.items():
             df = learner.setPredictionCol(target).transform(df)
         if self.sport_learner is not None:
             df = _one_hot_of_index(self.sport_learner.transform(df), self.session_encoder.one_hot)
         return df
 
+    def ready(self, windowed: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Columns to keep, and ``features`` of rows with a ``window``."""
+        return _with_features(windowed, len(self.history_encoder.feature_columns), self.config).select(*keep, "features")
+
+    def recent_windows(self, history: DataFrame, days: int) -> DataFrame:
+        """(user, days_back, window): encoded windows seen from each of the last days."""
+        cfg = self.config
+        names = {"begin": cfg.begin, "row_id": cfg.history_id, "n": cfg.window_rows}
+        past = encode_history(self.history_encoder, windows.recent_rows(history, days, **names), cfg)
+        return windows.windows_for_anchors(past, windows.day_anchors(past, days, cfg.begin), ["x"], **names)
+
     def predict(self, windowed: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Decoded prediction for each row with a ``window``."""
-        summary = windows.summarise(windowed, len(self.history_encoder.feature_columns))
-        ready = summary.select(*keep, _summary_vector().alias("features"))
+        ready = self.ready(windowed, keep)
         return self.session_encoder.inverse_transform(self.predict_encoded(ready), keep)
 
     def predict_for_date(self, history: DataFrame, date: Column) -> DataFrame:
@@ -149,12 +174,7 @@ class ForecastModel:
     def predict_for_last_days(self, history: DataFrame, days: int = 30) -> DataFrame:
         """Next workout seen from each of the last days before the newest history row; only rows
         that a window can hold are encoded, once."""
-        cfg = self.config
-        names = {"begin": cfg.begin, "row_id": cfg.history_id, "n": cfg.window_rows}
-        past = encode_history(self.history_encoder, windows.recent_rows(history, days, **names), cfg)
-        anchors = windows.day_anchors(past, days, cfg.begin)
-        framed = windows.windows_for_anchors(past, anchors, ["x"], **names)
-        return self.predict(framed, [USER, "days_back"])
+        return self.predict(self.recent_windows(history, days), [USER, "days_back"])
 
     def next_activity(self, history: DataFrame) -> DataFrame:
         return self.predict_for_last_days(history, 1).drop("days_back")
@@ -170,7 +190,12 @@ class ForecastModel:
             self.learners[name].write().overwrite().save(f"{path}/learners/{i}")
         if self.sport_learner is not None:
             self.sport_learner.write().overwrite().save(f"{path}/sport_learner")
-        state = {"config": vars(self.config), "targets": names, "sport": self.sport_learner is not None}
+        if self.linear is not None:
+            self.linear.save(f"{path}/linear", spark)
+        state = {
+            "config": vars(self.config), "targets": names, "sport": self.sport_learner is not None,
+            "linear": self.linear is not None, "rounds": asdict(self.rounds) if self.rounds else None,
+        }
         text = spark.createDataFrame([(json.dumps(state),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{path}/forecast")
 
@@ -183,6 +208,8 @@ class ForecastModel:
             EncoderModel.load(f"{path}/session_encoder", spark),
             {t: DefaultParamsReader.loadParamsInstance(f"{path}/learners/{i}", spark) for i, t in enumerate(state["targets"])},
             LogisticRegressionModel.load(f"{path}/sport_learner") if state["sport"] else None,
+            linear.LinearTargets.load(f"{path}/linear", spark) if state.get("linear") else None,
+            linear.Rounds(**state["rounds"]) if state.get("rounds") else None,
         )
 
 
@@ -228,6 +255,34 @@ def fit_learners(
         return dict(zip(targets, pool.map(inheritable_thread_target(fit), targets)))
 
 
+def fit_linear(
+    matrix: DataFrame, targets: Sequence[str], hot: OneHot | None = None, cfg: Config | None = None
+) -> tuple[linear.LinearTargets, linear.Rounds | None]:
+    """All targets from one pass over the matrix.
+
+    With a column ``held_out`` the numbers are learnt in rounds that stop early on those rows, which no fit
+    learns from. With ``hot`` its categories come as softmax heads.
+    """
+    cfg = cfg or Config()
+    marked = "held_out" in matrix.columns
+    found = linear.grams(matrix, targets, part="held_out" if marked else None)
+    empty = linear.Gram(np.zeros_like(next(iter(found.values())).products), next(iter(found.values())).width)
+    train = found.get(0, empty)
+    heads = []
+    for column in hot.values if hot is not None else []:
+        names = hot.names(column)
+        if names:
+            hidden = f"{column}_{hot.values[column][0]}" if len(hot.values[column]) == 2 else None
+            heads.append(linear.softmax_head(train, targets, names, hidden))
+    classes = {name for head in heads for name in head.targets}
+    numbers, rounds = linear.ridge(train, targets), None
+    if marked and 1 in found:
+        numbers, rounds = linear.descend(train, found[1], targets, cfg.rounds, cfg.patience)
+    rows = [i for i, t in enumerate(targets) if t not in classes]
+    numbers = linear.LinearTargets([targets[i] for i in rows], numbers.intercepts[rows], numbers.coefficients[rows])
+    return linear.joined(numbers, *heads), rounds
+
+
 def _fit_history(history: DataFrame, cfg: Config) -> tuple[EncoderModel, DataFrame]:
     encoder = fit_history_encoder(history, cfg.history_id, **cfg.history_options)
     return encoder, encode_history(encoder, history, cfg)
@@ -235,11 +290,12 @@ def _fit_history(history: DataFrame, cfg: Config) -> tuple[EncoderModel, DataFra
 
 def train(
     history: DataFrame, sessions: DataFrame, config: Config | None = None,
-    learner: Callable = squared_loss, hold_out: float | None = None,
+    learner: Callable | None = None, hold_out: float | None = None,
     encoded: tuple[EncoderModel, DataFrame] | None = None,
 ) -> ForecastModel:
-    """Fit both encoders, cut the windows, fit the learners.
+    """Fit both encoders, cut the windows, fit all targets from one pass, or each by ``learner``.
 
+    ``hold_out`` is the newest share of each athlete's sessions that early stopping looks at.
     ``encoded`` is a fitted history encoder with the history it encoded, to share among models.
     """
     cfg = config or Config()
@@ -248,8 +304,13 @@ def train(
     matrix = training_matrix(history, sessions, history_encoder, session_encoder, cfg, past)
     if hold_out is not None:
         matrix = hold_out_newest(matrix, hold_out, cfg.start, cfg.session_id)
-    matrix = cut_lineage(matrix)  # read once per target
+    matrix = cut_lineage(matrix)  # learners per column read it once each
     targets = session_encoder.feature_columns
+    if learner is None and not cfg.classify_sport:
+        hot = session_encoder.one_hot if cfg.softmax_heads else None
+        fitted, rounds = fit_linear(matrix, targets, hot, cfg)
+        return ForecastModel(cfg, history_encoder, session_encoder, {}, None, fitted, rounds)
+    learner = learner or squared_loss
     sport_learner = None
     if cfg.classify_sport and len(session_encoder.one_hot.values.get("sport", [])) > 1:
         sport_columns = set(session_encoder.one_hot.names("sport"))
@@ -262,7 +323,7 @@ def train(
 
 def train_per_sport(
     history: DataFrame, sessions: DataFrame, config: Config | None = None,
-    sports: Sequence[str] = MODEL_SPORTS, learner: Callable = squared_loss,
+    sports: Sequence[str] = MODEL_SPORTS, learner: Callable | None = None,
 ) -> dict[str, ForecastModel]:
     """One model per sport, each over that sport's sessions only; the history is encoded once."""
     cfg = replace(config or Config(), classify_sport=False)
@@ -332,15 +393,53 @@ def compare_for_last_days(
     return tag_union(predictions=predicted, reals=_readable(real, predicted, times))
 
 
-def per_model(models: dict[str, ForecastModel], history: DataFrame) -> DataFrame:
-    """Next workout by each of several models, tagged with the model's name."""
-    out = None
+def predict_models(models: dict[str, ForecastModel], history: DataFrame, days: int = 1) -> DataFrame:
+    """Predictions of several models for the last days, with ``days_back`` and ``model_name``.
+
+    Models that share a history encoder and window get their windows once and are applied in one pass.
+    """
+    if len(models) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    shared: dict[tuple, dict[str, ForecastModel]] = {}
     for name, model in models.items():
-        part = model.next_activity(history).withColumn("model_name", F.lit(name))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        cfg = model.config
+        together = (id(model.history_encoder), cfg.window_rows, cfg.flat) if model.linear is not None else (name,)
+        shared.setdefault(together, {})[name] = model
+    keys, parts = [USER, "days_back"], []
+    for group in shared.values():
+        one = next(iter(group.values()))
+        ready = one.ready(one.recent_windows(history, days), keys)
+        if one.linear is not None:
+            encoded = staged(linear.predict_each({name: model.linear for name, model in group.items()}, ready))
+        for name, model in group.items():
+            own = encoded.filter(F.col("model_name") == name) if one.linear is not None else model.predict_encoded(ready)
+            parts.append(model.session_encoder.inverse_transform(own, keys).withColumn("model_name", F.lit(name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def per_model(models: dict[str, ForecastModel], history: DataFrame) -> DataFrame:
+    """Next workout by each of several models, tagged with the model's name."""
+    return predict_models(models, history, 1).drop("days_back")
+
+
+def compare_models(
+    predicted: DataFrame, history: DataFrame, sessions: DataFrame, days: int = 1, **names
+) -> DataFrame:
+    """Each model's predictions beside the real sessions of the same days, every row with the model's name.
+
+    ``predicted`` has ``model_name``; real rows repeat per model, of which there are few.
+    """
+    models, plain = predicted.select("model_name").distinct(), predicted.drop("model_name")
+    reals = compare_for_last_days(plain.limit(0), history, sessions, days, **names)
+    tagged = predicted.withColumn("source", F.lit("predictions"))
+    return tagged.select("source", *[F.col(f"`{c}`") for c in plain.columns], "model_name").unionByName(
+        rows_per_model(reals, models)
+    )
+
+
 def evaluate(df: DataFrame, pairs: dict[str, tuple[str, str]], classes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(target, metric, value): squared and absolute error per number, accuracy per class."""
     rows = []
