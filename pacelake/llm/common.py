@@ -32,3 +32,31 @@ def slices(sizes: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int
             start, held = end, 0
     if start < end:
         yield start, end
+
+
+class Recent:
+    """Remembers what was used last: when full, the older half goes and the newer becomes the older."""
+
+    def __init__(self, limit: int):
+        self.limit, self.newer, self.older = limit, {}, {}
+
+    def find_all(self, keys: Iterable) -> tuple[dict, list]:
+        """What is known, and the keys that are not."""
+        found, again, unknown = {}, {}, []
+        for key in keys:
+            value = self.newer.get(key)
+            if value is not None:
+                found[key] = value
+                continue
+            value = self.older.get(key)
+            if value is not None:
+                again[key] = value
+            else:
+                unknown.append(key)
+        self.keep_all(again)
+        return found | again, unknown
+
+    def keep_all(self, entries: dict) -> None:
+        if len(self.newer) + len(entries) > self.limit:
+            self.older, self.newer = self.newer, {}
+        self.newer |= entries

@@ -118,8 +118,8 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def group_totals(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups (lang, source, total, kept, terms, p0) and languages (lang, lang_total, terms).
+def group_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lang, source, total, kept, lang_total, terms, p0) for every group that occurs.
 
     ``total`` sums a group's uses, ``kept`` counts the terms that it has, ``p0`` is its share of a term without uses.
     """
@@ -130,9 +130,9 @@ def group_totals(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFram
     occurring = docs.select(
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")
     ).distinct()
-    groups = occurring.join(sums, ["lang", "source"], "left").join(languages.drop("lang_total"), "lang", "left")
-    groups = groups.fillna(0, ["total", "kept", "terms"])
-    return groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("terms"))), languages
+    groups = occurring.join(sums, ["lang", "source"], "left").join(languages, "lang", "left")
+    groups = groups.fillna(0, ["total", "kept", "lang_total", "terms"])
+    return groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("terms")))
 
 
 def bitmaps(ids: DataFrame) -> DataFrame:
@@ -232,17 +232,16 @@ def pair_sums(bitmap: DataFrame, groups: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def leading_terms(terms: DataFrame, groups: DataFrame, languages: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+def leading_terms(terms: DataFrame, groups: DataFrame, top: int = TOP_TERMS) -> DataFrame:
     """The ``top`` terms of each group that it uses more than its language does, with rank."""
-    rows = terms.select("lang", "term", F.col("uses").alias("lang_uses"), F.explode("of").alias("one"))
-    rows = rows.join(languages, "lang").select(
-        "lang", F.col("one.source").alias("source"), "term", F.col("one.uses").alias("uses"),
-        share(F.col("lang_uses"), F.col("lang_total"), F.col("terms")).alias("q"),
-    )
     groups = F.broadcast(groups) if is_small(groups) else groups
-    found = rows.join(groups.drop("p0"), ["lang", "source"]).withColumn(
-        "p", share(F.col("uses"), F.col("total"), F.col("terms"))
-    ).filter("p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    rows = terms.select("lang", "term", F.col("uses").alias("lang_uses"), F.explode("of").alias("one")).select(
+        "lang", "term", "lang_uses", F.col("one.source").alias("source"), F.col("one.uses").alias("uses")
+    )
+    found = rows.join(groups, ["lang", "source"]).withColumns({
+        "p": share(F.col("uses"), F.col("total"), F.col("terms")),
+        "q": share(F.col("lang_uses"), F.col("lang_total"), F.col("terms")),
+    }).filter("p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -250,12 +249,11 @@ def leading_terms(terms: DataFrame, groups: DataFrame, languages: DataFrame, top
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` for the other sources, part ``term`` for leading terms."""
     terms = staged(kept_terms(docs, min_docs))
-    groups, languages = group_totals(docs, terms)
-    groups = staged(groups)
+    groups = staged(group_totals(docs, terms))
     pairs = pair_sums(staged(bitmaps(numbered(terms))), groups)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
-    led = leading_terms(terms, groups, languages, top)
+    led = leading_terms(terms, groups, top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionByName(
         led.withColumn("part", F.lit("term")).select(*columns)

@@ -17,7 +17,7 @@ end are the tokens. Many words take each step together, as look-ups in tables. T
 times the longest token's. Decoding emits the labels.
 
 Normalising and splitting into words are done by the library that the file is for, once for each distinct run between
-ASCII white space, which neither step sees across. Strings of added tokens in a text give their own ids, as in that
+white space, which neither step sees across. Strings of added tokens in a text give their own ids, as in that
 library. The tokens of the runs met last are remembered, up to a bound.
 
 Null text counts as empty, empty text gives no ids and decodes to the empty string, repeated rows are each encoded, an
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -40,52 +41,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pacelake.llm.common import slices
+from pacelake.llm.common import Recent, slices
 
-KNOWN = 250_000
+KNOWN = 120_000
 """Runs whose tokens a worker remembers of the newer generation; the older one has as many."""
 
 LONG_RUN = 64
 """Longer runs are not remembered."""
 
-FEW = 32
+FEW = 100
 """Fewer steps are taken one by one, as towards the end of a very long word."""
 
-BATCH_CHARS = 200_000
+BATCH_CHARS = 120_000
 """Text of distinct words that is encoded at once."""
 
-SLICE_CHARS = 1_000_000
-SLICE_TOKENS = 500_000
+SLICE_CHARS = 500_000
+SLICE_TOKENS = 200_000
 LAST, NEVER = 1 << 60, 1 << 61
 BLANKS = regex.compile(r"[\t-\r ]+")
-ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
-"""White space for str.split, though not for the tokenizer."""
-
-
-class Recent(dict):
-    """Remembers what was used last: when full, the older half goes and the newer becomes the older."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.older = limit, {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is not None:
-            self.keep(key, found)
-        return found
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
+ODD_BLANKS = re.compile("[\x1c-\x1f]")
+"""White space for str.split, though not for the tokenizer. All other that it knows, the tokenizer knows as well."""
 
 
 class Automaton:
     """``symbols`` are numbered tokens, ``merges`` rows (left, right, result) in order."""
 
-    FILTER = 1 << 22
+    FILTER = 1 << 20
 
     def __init__(self, symbols: list[int], merges: list[tuple[int, int, int]]):
         enters, made = dict.fromkeys(symbols, 0), dict.fromkeys(symbols, -1)
@@ -146,6 +127,7 @@ class Automaton:
         self.keys, self.times = keys[order], np.array(list(self.taken.values()), dtype=np.int64)[order]
         self.maybe = np.zeros(self.FILTER, dtype=bool)
         self.maybe[self._slot(keys)] = True
+        self.table_keys, self.table_to = np.full(self.FILTER, -1, dtype=np.int64), np.zeros(self.FILTER, dtype=np.int64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * 0x9E3779B1 >> 12) & (self.FILTER - 1)
@@ -171,10 +153,23 @@ class Automaton:
         return to if to >= 0 and self._arc(state, token, LAST) else -1
 
     def steps(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """The state that each token leads to from its state, or -1."""
+        """The state that each token leads to from its state, or -1.
+
+        Steps taken lately are in a table, each under a place that its hash gives, one a place.
+        """
+        keys = states * self.size + tokens
+        place = self._slot(keys)
+        to = self.table_to[place]
+        new = np.flatnonzero(self.table_keys[place] != keys)
+        if len(new):
+            to[new] = self._looked_up(states[new], tokens[new])
+            self.table_keys[place[new]], self.table_to[place[new]] = keys[new], to[new]
+        return to
+
+    def _looked_up(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         to = self.enters[tokens]
         rows = np.flatnonzero(to >= 0)
-        to, states, tokens = to.copy(), states[rows], tokens[rows]
+        states, tokens = states[rows], tokens[rows]
         times = np.full(len(rows), LAST)
         while len(rows):
             gone = self._gone(states, tokens, times)
@@ -209,10 +204,14 @@ class Labels:
                 inner[node] = token
             if closes or not end:
                 last[node] = token
-        self.children = np.zeros((len(children), len(self.letters)), dtype=np.int32)
-        for node, to in enumerate(children):
-            self.children[node, list(to)] = list(to.values())
-        self.inner, self.last = np.array(inner), np.array(last)
+        # Row 0 stands for all nodes without children.
+        inside = [node for node, to in enumerate(children) if to]
+        self.rows = np.zeros(len(children), dtype=np.int32)
+        self.rows[inside] = np.arange(1, len(inside) + 1)
+        self.children = np.zeros((len(inside) + 1, len(self.letters)), dtype=np.int32)
+        for node in inside:
+            self.children[self.rows[node], list(children[node])] = list(children[node].values())
+        self.inner, self.last = np.array(inner, dtype=np.int32), np.array(last, dtype=np.int32)
 
     def coded(self, words: list[str]) -> np.ndarray:
         """The words' symbols, one after another."""
@@ -224,10 +223,10 @@ class Labels:
 
     def continuing(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, token) of all tokens in the words; ``ends`` is where each symbol's word ends."""
-        begins, nodes = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        begins, nodes = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), dtype=np.int32)
         found, width = [], 0
         while len(begins):
-            nodes = self.children[nodes, codes[begins + width]].astype(np.int64)
+            nodes = self.children[self.rows[nodes], codes[begins + width]]
             width += 1
             on = nodes > 0
             begins, nodes = begins[on], nodes[on]
@@ -236,7 +235,7 @@ class Labels:
             hit = tokens >= 0
             found.append((begins[hit], begins[hit] + width, tokens[hit]))
             begins, nodes = begins[~closing], nodes[~closing]
-        return tuple(np.concatenate(parts) if parts else np.empty(0, np.int64) for parts in zip(*found, strict=True))
+        return tuple(np.concatenate(parts) if parts else np.empty(0, np.int32) for parts in zip(*found, strict=True))
 
 
 class Coder:
@@ -252,30 +251,51 @@ class Coder:
             raise ValueError("decoding is joining labels by blanks; this file names another decoder")
         if any(token[flag] for token in read["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with conditions")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
+        self.labels = {i: label for label, i in model["vocab"].items()} | {x["id"]: x["content"] for x in read["added_tokens"]}
+        self.added = {x["content"]: np.int32(x["id"]).astype("<i4").tobytes() for x in read["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
+        self.known = Recent(KNOWN)
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def compiled(self) -> tuple[Automaton, Labels]:
+        """Built by the first task that encodes; decoding needs the labels alone."""
+        with open(self.path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         ids: dict[str, int] = model["vocab"]
         merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"]]
         rows = [(ids[a], ids[b], ids[a + b]) for a, b in merges]
         results = {row[2] for row in rows}
-        self.automaton = Automaton([i for i in ids.values() if i not in results], rows)
-        self.tree = Labels(ids, model.get("end_of_word_suffix") or "")
-        self.added = {token["content"]: np.int32(token["id"]).astype("<i4").tobytes() for token in read["added_tokens"]}
-        self.labels = {i: label for label, i in ids.items()} | {token["id"]: token["content"] for token in read["added_tokens"]}
-        longest_first = sorted(self.added, key=len, reverse=True)
-        self.at_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.known = Recent(KNOWN)
+        automaton = Automaton([i for i in ids.values() if i not in results], rows)
+        return automaton, Labels(ids, model.get("end_of_word_suffix") or "")
+
+    @functools.cached_property
+    def letters_stay(self) -> bool:
+        """Whether ASCII is only lower-cased and its letters never split, tried on all of it and on all pairs of letters."""
         pairs = [a + b for a in string.ascii_letters for b in string.ascii_letters]
-        self.letters_stay = [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(" ".join(pairs))] == pairs and (
-            self.library.normalizer.normalize_str(string.ascii_letters) == string.ascii_letters.lower()
-        )
-        """Whether runs of ASCII letters are only lower-cased and never split."""
+        split = [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(" ".join(pairs))]
+        shown = "".join(map(chr, range(0x21, 0x7F)))
+        return split == pairs and self.library.normalizer.normalize_str(shown) == shown.lower()
+
+    def normal(self, runs: list[str]) -> list[str]:
+        """The runs normalised; together where no white space is in them, as then each keeps its place."""
+        together = self.library.normalizer.normalize_str(" ".join(runs)).split(" ")
+        if len(together) == len(runs) and all(together):
+            return together
+        return [self.library.normalizer.normalize_str(run) for run in runs]
 
     def words(self, words: list[str]) -> list[bytes]:
         """The tokens of pre-split words, packed."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths)
-        codes = self.tree.coded(words)
-        begin, end, token = self.tree.continuing(codes, np.repeat(ends, lengths))
+        automaton, tree = self.compiled
+        codes = tree.coded(words)
+        begin, end, token = tree.continuing(codes, np.repeat(ends, lengths))
         # Places are symbols, and one more a word for its end.
         word = np.repeat(np.arange(len(words)), lengths)[begin]
         begin, end = begin + word, end + word
@@ -291,12 +311,12 @@ class Coder:
         for a, b in zip(cuts[:many].tolist(), cuts[1 : many + 1].tolist(), strict=True):
             at = states[begin[a:b]]
             rows = np.flatnonzero(at >= 0)
-            to = self.automaton.steps(at[rows], token[a:b][rows])
+            to = automaton.steps(at[rows], token[a:b][rows])
             rows, to = rows[to >= 0] + a, to[to >= 0]
             states[end[rows]], back[end[rows]], by[end[rows]] = to, begin[rows], token[rows]
         for a, b, label in zip(*(x[cuts[many] :].tolist() for x in (begin, end, token)), strict=True):
             at = states.item(a)
-            to = self.automaton.step(at, label) if at >= 0 else -1
+            to = automaton.step(at, label) if at >= 0 else -1
             if to >= 0:
                 states[b], back[b], by[b] = to, a, label
         place = ends + np.arange(len(words))
@@ -312,18 +332,20 @@ class Coder:
             place = back[place]
         tokens = by[passed].astype("<i4")
         counts = np.add.reduceat(passed, ends - lengths + np.arange(len(words)), dtype=np.int64) if words else []
-        stops = np.cumsum(counts)
-        return [tokens[b - n : b].tobytes() for b, n in zip(stops, counts, strict=True)]
+        stops, packed = (4 * np.cumsum([0, *counts])).tolist(), tokens.tobytes()
+        return [packed[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
     def runs(self, runs: list[str]) -> dict[str, bytes]:
         """The tokens of runs between white space."""
         out = {}
         for a, b in slices(map(len, runs), BATCH_CHARS):
-            plain, other = [], []
-            for run in runs[a:b]:
-                (plain if self.letters_stay and run.isascii() and run.isalpha() else other).append(run)
+            plain = [run for run in runs[a:b] if run.isascii() and run.isalpha()] if self.letters_stay else []
+            other = [run for run in runs[a:b] if not (run.isascii() and run.isalpha())] if self.letters_stay else runs[a:b]
             lower = " ".join(plain).lower().split(" ") if plain else []
-            normal = [self.library.normalizer.normalize_str(run) for run in other]
+            other.sort(key=str.isascii)  # False first
+            ascii_from = next((i for i, run in enumerate(other) if run.isascii()), len(other)) if self.letters_stay else len(other)
+            normal = self.normal(other[:ascii_from]) if ascii_from else []
+            normal += " ".join(other[ascii_from:]).lower().split(" ") if ascii_from < len(other) else []
             starts = np.cumsum([0, *(len(x) + 1 for x in normal)])
             split = self.library.pre_tokenizer.pre_tokenize_str(" ".join(normal))
             of = np.searchsorted(starts, [begin for _, (begin, _) in split], side="right") - 1
@@ -340,28 +362,19 @@ class Coder:
         """The ids of each text, packed."""
         read = []
         for text in texts:
-            parts = []
+            runs = []
             for part in self.at_added.split(text) if self.at_added else [text]:
                 if part in self.added:
-                    parts.append([part])
-                else:
-                    parts.append(BLANKS.split(part) if ODD_BLANKS.search(part) or not part.isascii() else part.split())
-            read.append(parts)
-        found = {"": b""} | self.added
-        new = []
-        for run in {run for parts in read for part in parts for run in part}:
-            if run not in found:
-                tokens = self.known[run]
-                if tokens is None:
-                    new.append(run)
+                    runs.append(part)
                 else:
-                    found[run] = tokens
+                    runs += BLANKS.split(part) if ODD_BLANKS.search(part) else part.split()
+            read.append(runs)
+        fixed = {"": b""} | self.added
+        found, new = self.known.find_all(set().union(*read).difference(fixed))
         encoded = self.runs(new)
-        found |= encoded
-        for run, tokens in encoded.items():
-            if len(run) <= LONG_RUN:
-                self.known.keep(run, tokens)
-        return [b"".join([found[run] for part in parts for run in part]) for parts in read]
+        found |= encoded | fixed
+        self.known.keep_all({run: tokens for run, tokens in encoded.items() if len(run) <= LONG_RUN})
+        return [b"".join(map(found.__getitem__, runs)) for runs in read]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
