@@ -15,28 +15,26 @@ from pacelake.session import scratch_dir
 COLUMNS = ["total_distance", "enhanced_avg_speed", "avg_heart_rate", "avg_cadence", "max_heart_rate", "total_calories"]
 LABELS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in BENEFIT_LABELS.items())
 
-_GAPS = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN (a.{c} - b.{c}) * (a.{c} - b.{c}) ELSE 0.0 END" for c in COLUMNS)
-_SHARED = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in COLUMNS)
-_WITH_NULLS = COLUMNS[:4]
 
-
-def _imputed(block: str) -> str:
+def _imputed(block: str, columns: list[str] = COLUMNS, lacking: list[str] = COLUMNS[:4], digits: int = 6) -> str:
+    gaps = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN (a.{c} - b.{c}) * (a.{c} - b.{c}) ELSE 0.0 END" for c in columns)
+    shared = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in columns)
     same = " AND ".join(f"a.{b} = b.{b}" for b in block.split(", "))
     cells = " UNION ALL ".join(f"""
       SELECT * FROM (SELECT rid, '{c}' AS f, x_{c} AS x, row_number() OVER (PARTITION BY rid ORDER BY d, did) AS rn
-        FROM pairs WHERE x_{c} IS NOT NULL AND y_{c} IS NULL) WHERE rn <= 4""" for c in _WITH_NULLS)
-    mean = f"SELECT {block}, {', '.join(f'avg({c}) AS {c}' for c in COLUMNS)} FROM sessions_v GROUP BY {block}"
+        FROM pairs WHERE x_{c} IS NOT NULL AND y_{c} IS NULL) WHERE rn <= 4""" for c in lacking)
+    mean = f"SELECT {block}, {', '.join(f'avg({c}) AS {c}' for c in columns)} FROM sessions_v GROUP BY {block}"
     out = ", ".join(
-        f"round(coalesce(s.{c}, n.{c}, m.{c}, (SELECT avg({c}) FROM sessions_v)), 6) AS {c}" for c in COLUMNS)
+        f"round(coalesce(s.{c}, n.{c}, m.{c}, (SELECT avg({c}) FROM sessions_v)), {digits}) AS {c}" for c in columns)
     near = ", ".join(
-        f"avg(x) FILTER (WHERE f = '{c}') AS {c}" if c in _WITH_NULLS else f"CAST(NULL AS DOUBLE) AS {c}" for c in COLUMNS)
+        f"avg(x) FILTER (WHERE f = '{c}') AS {c}" if c in lacking else f"CAST(NULL AS DOUBLE) AS {c}" for c in columns)
     on = " AND ".join(f"s.{b} = m.{b}" for b in block.split(", "))
     return f"""
     WITH pairs AS (
-      SELECT a.activity_id AS rid, b.activity_id AS did, ({_GAPS}) * 6 / ({_SHARED}) AS d,
-        {', '.join(f'b.{c} AS x_{c}, a.{c} AS y_{c}' for c in _WITH_NULLS)}
+      SELECT a.activity_id AS rid, b.activity_id AS did, ({gaps}) * {len(columns)} / ({shared}) AS d,
+        {', '.join(f'b.{c} AS x_{c}, a.{c} AS y_{c}' for c in lacking)}
       FROM sessions_v a JOIN sessions_v b ON {same}
-      WHERE ({' OR '.join(f'a.{c} IS NULL' for c in _WITH_NULLS)}) AND ({_SHARED}) > 0),
+      WHERE ({' OR '.join(f'a.{c} IS NULL' for c in lacking)}) AND ({shared}) > 0),
     near AS (SELECT rid, {near} FROM ({cells}) GROUP BY rid),
     means AS ({mean})
     SELECT s.activity_id, {out} FROM sessions_v s LEFT JOIN near n ON s.activity_id = n.rid
@@ -73,21 +71,29 @@ def _(v):
     return out.select(F.col("activity_id").cast("long").alias("activity_id"), *[F.round(c, 6).alias(c) for c in COLUMNS])
 
 
-@query("f1_f2_columns_by_type", """
-    SELECT * FROM (VALUES ('avg_cadence', 'numeric'), ('avg_heart_rate', 'numeric'), ('benefit', 'numeric'),
-      ('enhanced_avg_speed', 'numeric'), ('enhanced_max_speed', 'numeric'), ('max_heart_rate', 'numeric'),
-      ('stamina_begin', 'numeric'), ('total_calories', 'numeric'), ('total_distance', 'numeric'),
-      ('end_time', 'time'), ('start_time', 'time'), ('sport', 'other')) t("column", kind)
-    WHERE (SELECT count(*) FROM sessions_v) > 0""")
+_KINDS = {
+    "numeric": ["avg_cadence", "avg_heart_rate", "benefit", "enhanced_avg_speed", "enhanced_max_speed", "max_heart_rate",
+                "stamina_begin", "total_calories", "total_distance"],
+    "time": ["end_time", "start_time"], "other": ["sport"],
+}
+
+
+@query("f1_f2_columns_by_type", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count({c}) AS known, count(DISTINCT {c}) AS different FROM sessions_v"
+    for kind, columns in _KINDS.items() for c in columns))
 def _(v):
-    df, ids = v.sessions, ["user_id", "activity_id", "avg_power"]
+    """Both kinds of timestamp; each column is read under the kind that it was given."""
+    df, ids = v.sessions.withColumn("end_time", F.col("end_time").cast("timestamp")), ["user_id", "activity_id", "avg_power"]
     kinds = {
         **dict.fromkeys(profile.numeric_columns(df, ids), "numeric"),
         **dict.fromkeys(profile.time_columns(df, ids), "time"),
         **dict.fromkeys(profile.other_columns(df, ids), "other"),
     }
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind")) for c, k in kinds.items()])
-    return df.agg(F.first(rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.count(c).alias("known"), F.count_distinct(c).alias("different"))
+        for c, k in kinds.items()
+    ])
+    return df.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("f4_missing_indicators", """
@@ -255,6 +261,23 @@ def _(v):
     return _session_columns(X.fit_session_encoder(sessions, "activity_id").transform(sessions))
 
 
+NEIGHBOUR = ["avg_heart_rate", "max_heart_rate", "total_calories"]
+
+
+@query("f13_imputed_columns", f"""
+    WITH f AS ({_imputed("user_id", NEIGHBOUR, NEIGHBOUR[:1], 12)})
+    SELECT activity_id, {', '.join(f'round((f.{c} - m_{c}) / r_{c}, 5) AS {c}' for c in NEIGHBOUR)},
+      round((CAST(s.avg_heart_rate IS NULL AS DOUBLE)), 5) AS missing_avg_heart_rate
+    FROM f JOIN (SELECT activity_id, avg_heart_rate FROM sessions_v) s USING (activity_id),
+      (SELECT {', '.join(_scaled(c, "f") for c in NEIGHBOUR)}) q""")
+def _(v):
+    """Every column that neighbours fill, imputed and then scaled by statistics of the imputed column."""
+    sessions = _named(v)
+    model = X.fit_session_encoder(sessions, "activity_id")
+    out = model.transform(sessions)
+    return out.select("activity_id", *[F.round(c, 5).alias(c) for c in [*model.neighbour_columns, *map(X.indicator, model.indicator_columns)]])
+
+
 @query("f16_stored_session_encoder", F13)
 def _(v):
     sessions = _named(v)

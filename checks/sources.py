@@ -62,6 +62,19 @@ def _(v):
     )
 
 
+@query("w2b_workouts_deduplicated", """
+    SELECT user_id, date_trunc('milliseconds', begin_ts) AS begin, min(calendar_date) AS date
+    FROM workouts_v WHERE row_id % 5 <> 0 GROUP BY 1, 2""")
+def _(v):
+    """Exports that overlap: every file is there twice."""
+    path = _folder(v)
+    _workout_export(v).write.json(path)
+    _workout_export(v).write.mode("append").json(path)
+    raw = readers.read_workouts(v.spark, path, WORKOUT_FILE, multi_line=False)
+    out = cleaning.clean_workouts(raw, dedup=True)
+    return out.select("user_id", F.col("beginTimestamp").alias("begin"), "date")
+
+
 @query("s3_s8_csv_round_trip", "SELECT activity_id, start_time, sport, total_distance FROM sessions_v")
 def _(v):
     df = v.sessions.select("activity_id", "start_time", "sport", "total_distance")
@@ -70,6 +83,26 @@ def _(v):
     return readers.read_csv(v.spark, path, df.schema)
 
 
+@query("s12_malformed_cells", """
+    WITH p AS (SELECT seq, mesg, CASE WHEN seq % 10 = 0 THEN 'n/a' WHEN seq % 10 = 1 THEN NULL
+        ELSE json_extract_string(fields, '$.heart_rate') END AS heart_rate,
+      CASE WHEN seq % 15 = 0 THEN concat('w', seq % 90) ELSE json_extract_string(fields, '$.weight') END AS weight FROM values_v)
+    SELECT mesg, 'heart_rate' AS key, count(*) AS n, min(heart_rate) AS example FROM p
+    WHERE mesg = 'RECORD' AND heart_rate IS NOT NULL AND try_cast(heart_rate AS DOUBLE) IS NULL GROUP BY mesg
+    UNION ALL SELECT mesg, 'weight', count(*), min(weight) FROM p
+    WHERE mesg = 'SET' AND try_cast(weight AS DOUBLE) IS NULL GROUP BY mesg""")
+def _(v):
+    decoded = v.values.withColumn("fields", F.from_json("fields", "map<string,string>"))
+    nth, old = F.col("seq") % 10, F.col("fields")
+    rate = F.when(nth == 0, "n/a").when(nth != 1, old["heart_rate"])
+    weight = F.when(F.col("seq") % 15 == 0, F.concat(F.lit("w"), (F.col("seq") % 90).cast("string"))).otherwise(old["weight"])
+    spoilt = F.map_concat(
+        F.map_filter(old, lambda k, _: ~k.isin("heart_rate", "weight")),
+        F.create_map(F.lit("heart_rate"), rate, F.lit("weight"), weight),
+    )
+    return messages.malformed_counts(decoded.withColumn("fields", spoilt))
+
+
 @query("s9_samples_per_workout", """
     SELECT activity_id, count(*) AS n, round(sum(CAST(json_extract_string(fields, '$.heart_rate') AS DOUBLE)), 2) AS heart_rate
     FROM messages_v WHERE mesg = 'RECORD' GROUP BY activity_id""")

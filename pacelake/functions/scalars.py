@@ -50,6 +50,44 @@ def parse_time(c: Column | str, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(as_col(c), F.lit(f)) for f in formats])
 
 
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?"
+_MARK = r"[/.\-]"
+
+
+def parse_free_time(c: Column | str, day_first: bool = False, on: str = "1970-01-01") -> Column:
+    """Date, time or both in free form, told apart by shape alone; NULL if no shape fits or the date does not exist.
+
+    ``2023-10-08``, ``08/10/2023`` and ``8.10.2023``, each with or without ``17:16`` or ``17:16:05.5``
+    after a blank or T, and a bare ``17:16`` on the day ``on``. Of two numbers that can both be the month the
+    first one is, or with ``day_first`` the second; where only one can be, that one is.
+    """
+    text = F.trim(as_col(c).cast("string"))
+
+    def part(pattern: str, group: int) -> Column:
+        found = F.regexp_extract(text, pattern, group)
+        return F.when(found != "", found)
+
+    def built(pattern: str, year: Column, month: Column, day: Column, clock: int) -> Column:
+        hour, minute = (F.coalesce(part(pattern, clock + i), F.lit("0")).cast("int") for i in range(2))
+        second = F.coalesce(part(pattern, clock + 2), F.lit("0")).cast("decimal(16,6)")
+        made = F.call_function("try_make_timestamp_ntz", year, month, day, hour, minute, second)
+        return F.when(F.regexp_like(text, F.lit(pattern)), made)
+
+    clock = rf"(?:[ T]+{_CLOCK})?$"
+    iso = rf"^(\d{{4}}){_MARK}(\d{{1,2}}){_MARK}(\d{{1,2}}){clock}"
+    local = rf"^(\d{{1,2}}){_MARK}(\d{{1,2}}){_MARK}(\d{{4}}){clock}"
+    bare = rf"^{_CLOCK}$"
+    year, month, day = (part(iso, i).cast("int") for i in (1, 2, 3))
+    one, two = (part(local, i).cast("int") for i in (1, 2))
+    swapped = (two <= 12) if day_first else (one > 12)
+    start = [F.lit(int(x)) for x in on.split("-")]
+    return F.coalesce(
+        built(iso, year, month, day, 4),
+        built(local, part(local, 3).cast("int"), F.when(swapped, two).otherwise(one), F.when(swapped, one).otherwise(two), 4),
+        built(bare, *start, 1),
+    )
+
+
 def round_half_even(c: Column | str, digits: int) -> Column:
     """Scale, round to the nearest whole number with ties to even, scale back."""
     scale = F.lit(10.0**digits)

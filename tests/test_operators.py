@@ -398,3 +398,16 @@ def test_recent_rows_hold_every_window(spark):
         for framed in (every, some)
     ]
     assert ids[0] == ids[1] and all(ids[0].values())
+
+
+@pytest.mark.parametrize("text, want", [
+    ("08/10/2023 17:16", "2023-08-10 17:16:00"), ("2023-10-08 07:05:09.25", "2023-10-08 07:05:09.250000"),
+    ("25/12/2023", "2023-12-25 00:00:00"), (" 8.1.2024T9:30 ", "2024-08-01 09:30:00"), ("7:05:30", "1970-01-01 07:05:30"),
+    ("02/30/2023", None), ("soon", None), ("", None), (None, None), ("2023-10-08Z", None),
+])
+def test_free_times_by_shape(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    found = df.select(S.parse_free_time("t").alias("a"), S.parse_free_time("t", day_first=True).alias("b")).first()
+    assert (None if found["a"] is None else str(found["a"])) == want
+    if text == "08/10/2023 17:16":
+        assert str(found["b"]) == "2023-10-08 17:16:00"

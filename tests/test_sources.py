@@ -171,3 +171,14 @@ def test_a_wrong_table_is_not_replaced_by_other_data(spark, exports):
     sinks.save_table(spark.range(1), "sports.unrelated")
     with pytest.raises(AnalysisException):
         readers.load_history(spark, table="sports.unrelated", raw=exports)
+
+
+def test_malformed_cells_are_rescued(spark):
+    given = spark.createDataFrame(
+        [(1, "a", 1, "RECORD", {"heart_rate": "12x", "distance": "3.5"}), (1, "a", 2, "RECORD", {"heart_rate": None}), (1, "a", 3, "SET", {})],
+        "user_id long, activity_id string, seq long, mesg string, fields map<string,string>",
+    )
+    rows = {r["seq"]: r for r in messages.project_messages(given, "RECORD", rescue=True).collect()}
+    assert rows[1]["heart_rate"] is None and rows[1]["distance"] == 3.5 and rows[1][messages.RESCUED] == {"heart_rate": "12x"}
+    assert rows[2][messages.RESCUED] is None
+    assert [tuple(r) for r in messages.malformed_counts(given).collect()] == [("RECORD", "heart_rate", 1, "12x")]
