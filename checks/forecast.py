@@ -18,6 +18,9 @@ from pacelake.session import scratch_dir
 
 WINDOW = 60
 CONFIG = M.Config(window_rows=WINDOW, mode="asof")
+SPORT_CONFIG = replace(CONFIG, window_rows=10)
+"""The stand-in athletes have fewer than 60 sessions of one sport, so none of these would have a whole window before it."""
+
 _MODELS: dict[tuple[str, str], M.ForecastModel] = {}
 
 
@@ -246,7 +249,7 @@ def _(v):
 
 @query("m5_model_per_sport")
 def _(v):
-    models = M.train_per_sport(_history(v), _named(v), CONFIG)
+    models = M.train_per_sport(_history(v), _named(v), SPORT_CONFIG)
     return M.per_model(models, _history(v))
 
 
@@ -254,7 +257,7 @@ def _(v):
     SELECT DISTINCT user_id, sport, sport AS model_name FROM h,
       (SELECT unnest([{', '.join(f"'{s}'" for s in MODEL_SPORTS)}]) AS sport)""")
 def _(v):
-    models = M.train_per_sport(_history(v), _named(v), CONFIG)
+    models = M.train_per_sport(_history(v), _named(v), SPORT_CONFIG)
     return M.per_model(models, _history(v)).select("user_id", "sport", "model_name")
 
 
