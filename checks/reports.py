@@ -489,19 +489,35 @@ def _(v):
     return reports.cadence_speed_points(v.sessions)
 
 
-@query("p33_sleep_against_features", """
-    WITH j AS (SELECT s.row_id AS sleep_id, w.row_id AS workout_id,
-        (deep_s + light_s + rem_s + awake_s) / 3600.0 AS y, distance, avg_speed, max_speed
-      FROM sleep_v s JOIN workouts_v w ON s.user_id = w.user_id AND s.calendar_date = w.calendar_date),
-    u AS (SELECT sleep_id, workout_id, y, 'distance' AS feature, distance AS x FROM j
-      UNION ALL SELECT sleep_id, workout_id, y, 'avg_speed', avg_speed FROM j
-      UNION ALL SELECT sleep_id, workout_id, y, 'max_speed', max_speed FROM j)
-    SELECT sleep_id, workout_id, round(y, 6) AS y, feature, round(x, 6) AS x FROM u""")
+POINTS = [
+    "distance", "avg_speed", "max_speed", "total_distance", "enhanced_avg_speed", "enhanced_max_speed", "avg_heart_rate",
+    "max_heart_rate", "total_calories", "avg_cadence", "benefit", "stamina_begin", "avg_power", "deep_s", "light_s", "awake_s",
+]
+
+
+@query("p33_sleep_against_features", f"""
+    WITH j AS (SELECT s.row_id AS sleep_id, w.row_id AS workout_id, (deep_s + light_s + rem_s + awake_s) / 3600.0 AS y,
+        {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in POINTS)}
+      FROM sleep_v s JOIN workouts_v w ON s.user_id = w.user_id AND s.calendar_date = w.calendar_date
+      JOIN sessions_v e ON e.activity_id = w.row_id)
+    {' UNION ALL '.join(f"SELECT sleep_id, workout_id, round(y, 6) AS y, '{c}' AS feature, round({c}, 6) AS x FROM j" for c in POINTS)}""")
 def _(v):
     nights = v.sleep.withColumnRenamed("row_id", "sleep_id")
     joined = nights.join(v.workouts.withColumnRenamed("row_id", "workout_id"), ["user_id", "calendar_date"])
+    joined = joined.join(v.sessions.withColumnRenamed("activity_id", "workout_id").drop("user_id"), "workout_id")
     y = S.sleep_hours("deep_s", "light_s", "rem_s", "awake_s")
-    out = reports.xy_points(joined, y, ["distance", "avg_speed", "max_speed"], ["sleep_id", "workout_id"])
+    out = reports.xy_points(joined, y, POINTS, ["sleep_id", "workout_id"])
+    return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query("p33_sweat_against_calories", """
+    SELECT d.row_id, e.activity_id, round(d.steps, 6) AS y, 'total_calories' AS feature, round(e.total_calories, 6) AS x
+    FROM daily_v d JOIN sessions_v e ON d.user_id = e.user_id AND d.calendar_date = CAST(e.start_time AS DATE)""")
+def _(v):
+    """The day's value stands for the sweat loss."""
+    worked = v.sessions.withColumn("calendar_date", F.to_date("start_time"))
+    joined = v.daily.join(worked, ["user_id", "calendar_date"])
+    out = reports.xy_points(joined, F.col("steps"), ["total_calories"], ["row_id", "activity_id"])
     return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
