@@ -11,11 +11,14 @@ far it reaches; sizes of the splits before give its offset. That makes a table o
 and successors, a few dozen bytes a record. Pointer jumping from offset 0 doubles the reach each round
 and keeps only records that the chain from the start of their file meets, so magic inside a payload
 is rejected. A payload that lies in one stretch is digested where it is read; only payloads that
-contain magic are put together again, in a second read that keeps their stretches alone.
+contain magic are put together again, in a second read that keeps their stretches alone. That read finds
+them by the SHA-1 of their bytes, as the first one noted it, so it may split the archives otherwise; a
+stretch that it does not find is an error.
 
 Null html counts as empty, a null url gives no target, pages with a null id are written last and come
 back with a null id. Equal rows are separate records; of those with the least id one is the
-response. Bytes that belong to no chain are ignored. An empty table gives no records.
+response. A very long payload is one row and has to fit one task. Bytes that belong to no chain are ignored.
+Other columns of ``pages``, whatever their names, are left out. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -115,6 +118,11 @@ def _stretches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _content() -> Column:
+    """What a stretch is known by in any read: the SHA-1 of its bytes."""
+    return F.unhex(F.sha1("raw"))
+
+
 def _field(header: Column, name: str) -> Column:
     found = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
@@ -138,13 +146,14 @@ def _with_parts(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("http", F.substring_index(F.col("body").cast("string"), END, 1))
     payload = F.expr(f"substring(body, octet_length(http) + {len(END) + 1})")
     rows = rows.withColumn("digest", payload_digest(payload)).withColumn("payload_bytes", F.octet_length(payload).cast("long"))
-    return rows.withColumn("bytes", F.octet_length("raw").cast("long")).drop("raw", "head_bytes", "block_bytes", "body")
+    rows = rows.withColumn("bytes", F.octet_length("raw").cast("long"))
+    return rows.drop("raw", "head_bytes", "block_bytes", "body")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row for each magic string: ``file``, ``offset``, the ``next`` offset that its header claims, and
     what its header and, if it lies in one stretch, its payload say."""
-    noted = staged(_with_parts(_stretches(spark, path)))
+    noted = staged(_with_parts(_stretches(spark, path).withColumn("content", _content())))
     # The text reader drops the magic behind each stretch; a stretch belongs to the magic before it.
     width = F.col("bytes") + len(MAGIC)
     blocks = noted.groupBy("file", "block").agg(F.sum(width).alias("total"))
@@ -197,12 +206,17 @@ def _mended(spark: SparkSession, path: str, every: DataFrame, torn: DataFrame) -
     starts = torn.select("file", "offset", F.col("offset").alias("start"), F.col("next").alias("stop"))
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A stretch lies in the last torn record that starts at or before it, if that reaches so far.
-    owned = every.select("file", "block", "nth", "offset").join(starts, ["file", "offset"], "left")
+    owned = every.select("file", "content", "offset").join(starts, ["file", "offset"], "left")
     owned = owned.withColumn("start", F.last("start", ignorenulls=True).over(upto))
     owned = owned.withColumn("stop", F.last("stop", ignorenulls=True).over(upto)).filter("offset < stop")
     owned = cut_lineage(owned)
-    read = _stretches(spark, path).join(F.broadcast(owned) if is_small(owned) else owned, ["file", "block", "nth"])
-    joined = read.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "raw"))).alias("parts"))
+    wanted = owned.select("content").distinct()
+    read = _stretches(spark, path).select(_content().alias("content"), "raw")
+    read = read.join(F.broadcast(wanted) if is_small(wanted) else wanted, "content", "left_semi")
+    read = read.groupBy("content").agg(F.min("raw").alias("raw"))
+    lost = F.raise_error(F.concat(F.lit("archive changed while it was read, at offset "), F.col("offset").cast("string")))
+    parts = owned.join(read, "content", "left").withColumn("raw", F.coalesce("raw", lost.cast("binary")))
+    joined = parts.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "raw"))).alias("parts"))
     magic = F.lit(MAGIC).cast("binary")
     together = F.aggregate(
         F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["raw"], lambda done, part: F.concat(done, magic, part["raw"])
