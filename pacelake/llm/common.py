@@ -22,6 +22,18 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has, in whatever case."""
+    taken = {name.casefold() for name in df.columns}
+    found = []
+    for name in wanted:
+        while name.casefold() in taken:
+            name += "_"
+        taken.add(name.casefold())
+        found.append(name)
+    return found
+
+
 def slices(sizes: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Cut 0..n into ranges of about ``limit`` in all; every range has a row at least."""
     start = held = end = 0

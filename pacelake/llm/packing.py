@@ -11,12 +11,15 @@ the rounds see a table of at most ``capacity`` counts; Spark then looks up every
 by length and rank.
 
 Null text counts as empty; an empty document still has its end token. Repeated rows are packed
-each. Null ids are packed like others. An empty table gives an empty result.
+each. Null ids are packed like others. A very long text is encoded by one task and cut into pieces there.
+Columns named ``piece``, ``start``, ``length``, ``ids``, ``sequence_id`` or ``offset`` are replaced by the results;
+others pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pacelake.llm.common import slices
+from pacelake.llm.common import free_names, slices
 from pacelake.llm.pieces import cut_pieces, gather
 from pacelake.operators.ordering import running_sum
 from pacelake.session import staged
@@ -51,11 +54,18 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """A public byte-level tokenizer whose merges see each distinct piece of text once.
 
-    Strings of special tokens in a text are ordinary text.
+    As in the library, the strings of its added tokens become their ids and part the text around them.
     """
 
     def __init__(self, path: str):
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        added = {token.content: number for number, token in tokenizer.get_added_tokens_decoder().items()}
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("only added tokens that stand for exactly their own string are known")
+        self.added = added
+        longest = sorted(added, key=len, reverse=True)
+        self.apart = re.compile("|".join(map(re.escape, longest))) if added else None
         self.characters = byte_characters()
         self.known: dict[bytes, bytes] = {}
 
@@ -65,6 +75,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin."""
+        parts, behind, tokens, firsts = [], [], [], []
+        for text in texts:
+            firsts.append(len(parts))
+            end = 0
+            for found in self.apart.finditer(text) if self.apart else ():
+                parts.append(text[end : found.start()])
+                behind.append(len(parts))
+                tokens.append(self.added[found.group()])
+                end = found.end()
+            parts.append(text[end:] if end else text)
+        ids, begins = self._encode_plain(parts)
+        firsts = np.array([*firsts, len(parts)], dtype=np.int64)
+        behind = np.array(behind, dtype=np.int64)
+        ids = np.insert(ids, begins[behind], np.array(tokens, dtype=ids.dtype))
+        return ids, begins[firsts] + np.searchsorted(behind, firsts, side="right")
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces = cut_pieces(texts)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
@@ -177,10 +204,11 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length")
     Rows come back from a table in the shared folder, so ``pieces`` is computed once.
     """
     spark = pieces.sparkSession
-    numbered = staged(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
-    ranked = running_sum(
-        numbered.select("_row", length_col), [length_col], ["_row"], F.lit(1).cast("long"), "_rank", max_group_rows=0
-    )
+    pieces = pieces.drop("sequence_id", "offset")
+    (row,) = free_names(pieces, "_row")
+    numbered = staged(pieces.withColumn(row, F.monotonically_increasing_id()))
+    narrow = numbered.select(F.col(row).alias("_row"), F.col(length_col).cast("long").alias("length"))
+    ranked = running_sum(narrow, ["length"], ["_row"], F.lit(1).cast("long"), "_rank", max_group_rows=0)
     counts = {r[0]: r[1] for r in numbered.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("lengths must be between 1 and the capacity")
@@ -202,7 +230,5 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length")
                 batch.column(0), pa.array(firsts[at] + nth // each[at]), pa.array(offsets[at] + nth % each[at] * length),
             ], ["_row", "sequence_id", "offset"])
 
-    found = ranked.select("_row", F.col(length_col).cast("long"), "_rank").mapInArrow(
-        place, "_row long, sequence_id long, offset long"
-    )
-    return numbered.join(found, "_row").drop("_row")
+    found = ranked.select("_row", "length", "_rank").mapInArrow(place, "_row long, sequence_id long, offset long")
+    return numbered.join(found.withColumnRenamed("_row", row), row).drop(row)
