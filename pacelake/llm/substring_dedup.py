@@ -15,7 +15,8 @@ shard holds the texts of some anchors and only meets the stretches of documents
 2. Every stretch of windows with the same, noted anchor becomes an occurrence; its text is kept once for
    each batch, with the least document, so a passage in a third of all documents is combined before
    the shuffle.
-3. Texts meet by anchor. Anchors are packed into shards of at most ``SHARD_WORDS`` words, each shard
+3. Texts meet by anchor. If all stretches of an anchor have one text, every window of it is in the same documents
+   and the text's least one is the answer. Other anchors are packed into shards of at most ``SHARD_WORDS`` words, each shard
    becomes an automaton, and its texts are streamed through it. An anchor with more text than that is
    compared window by window in an aggregation instead, whose groups hold one passage: equal windows are
    combined before the shuffle. One task streams the texts of an anchor, in pieces of at most that size.
@@ -23,7 +24,9 @@ shard holds the texts of some anchors and only meets the stretches of documents
 
 Windows are judged on the input. A null id counts as greater than every other: such a document loses what
 others have and takes nothing from anyone. Rows with equal ids take nothing from each other. Null text counts as
-empty and stays null; text shorter than a window stays as it is. Other columns pass through.
+empty and stays null; text shorter than a window stays as it is. A very long text is cut into stretches by one
+task. Columns ``n_words`` and ``n_removed`` are replaced by the results; others pass through, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacelake.llm.common import slices
+from pacelake.llm.common import free_names, slices
 from pacelake.session import staged
 
 WINDOW = 13
@@ -47,6 +50,8 @@ ANCHOR_WORDS = 5
 FILTER_BITS = 1 << 27
 """Size of the bit map, 16 MB, whatever the corpus."""
 SHARD_WORDS = 50_000
+SINGLES = 4_096
+"""Findings of anchors with one text that go out together."""
 LAST = (1 << 63) - 1
 """Stands for a null id."""
 
@@ -259,6 +264,17 @@ def _search(window: int, shard_words: int):
                 "doc": pa.array([doc for _, doc in group.values()], pa.int64()),
             })
 
+        def alone(texts: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            """Anchors with one text: each of its windows is in just the documents that have the text."""
+            sizes = [n for *_, n in texts]
+            earliest = np.repeat(np.array([doc for _, _, doc, _ in texts], dtype=np.int64), sizes)
+            return pa.RecordBatch.from_pydict({
+                "anchor": pa.array([anchor for anchor, *_ in texts], pa.int64()), "key": pa.array([key for _, key, *_ in texts], pa.int64()),
+                "earliest": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(earliest)),
+                "text": pa.nulls(len(texts), pa.string()), "doc": pa.nulls(len(texts), pa.int64()),
+            })
+
+        single: list[tuple[int, int, int, int]] = []
         shard: dict[tuple[int, int], tuple[str, int]] = {}
         group: dict[tuple[int, int], tuple[str, int]] = {}
         shard_size = group_size = 0
@@ -268,6 +284,12 @@ def _search(window: int, shard_words: int):
                 if anchor != here:
                     if wide and group:
                         yield overflow(group)
+                    elif len(group) == 1:
+                        ((owner, only), (_, least)), = group.items()
+                        single.append((owner, only, least, group_size - window + 1))
+                        if len(single) >= SINGLES:
+                            yield alone(single)
+                            single = []
                     elif group:
                         if shard_size + group_size > shard_words and shard:
                             yield answer(shard)
@@ -291,6 +313,8 @@ def _search(window: int, shard_words: int):
             shard |= group
         if shard:
             yield answer(shard)
+        if single:
+            yield alone(single)
 
     return run
 
@@ -377,8 +401,9 @@ def substring_dedup(
     removed = removed_windows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), window, bits, shard_words)
     docs = docs.drop("n_words", "n_removed")
     names = docs.columns
-    packed_fields = [T.StructField("_packed", T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields]
-    packed_schema = T.StructType([*packed_fields, T.StructField("_doc", T.LongType()), T.StructField("_mark", T.LongType())])
+    packed_col, doc_col, mark_col, starts_col = free_names(docs, "_packed", "_doc", "_mark", "_starts")
+    packed_fields = [T.StructField(packed_col, T.BinaryType()) if f.name == text_col else f for f in docs.schema.fields]
+    packed_schema = T.StructType([*packed_fields, T.StructField(doc_col, T.LongType()), T.StructField(mark_col, T.LongType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts travel compressed."""
@@ -386,20 +411,20 @@ def substring_dedup(
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             columns = {name: batch.column(name) for name in names if name != text_col}
-            columns["_packed"] = pa.array([None if x is None else press.compress(x.encode()) for x in texts], pa.binary())
-            columns["_doc"] = batch.column(id_col).cast(pa.int64()).fill_null(LAST)
-            columns["_mark"] = pa.array([_mark(x) for x in texts], pa.int64())
+            columns[packed_col] = pa.array([None if x is None else press.compress(x.encode()) for x in texts], pa.binary())
+            columns[doc_col] = batch.column(id_col).cast(pa.int64()).fill_null(LAST)
+            columns[mark_col] = pa.array([_mark(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_pydict({field.name: columns[field.name] for field in packed_schema.fields})
 
     joined = docs.mapInArrow(pack, packed_schema).join(
-        removed.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts")), ["_doc", "_mark"], "left"
-    ).select(*[f.name for f in packed_fields], "_starts")
+        removed.select(F.col("doc").alias(doc_col), F.col("mark").alias(mark_col), F.col("starts").alias(starts_col)), [doc_col, mark_col], "left"
+    ).select(*[f.name for f in packed_fields], starts_col)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            packed = [x.as_py() for x in batch.column("_packed")]
-            starts = batch.column("_starts")
+            packed = [x.as_py() for x in batch.column(packed_col)]
+            starts = batch.column(starts_col)
             size = max(1, len(packed) // 16)
             for a in range(0, len(packed), size):
                 rows = [
