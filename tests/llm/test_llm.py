@@ -102,7 +102,8 @@ def test_bpe_is_that_of_the_library(texts):
 
 def test_packing_encodes_as_the_library_and_fills(spark, texts):
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
+    end = "<|endoftext|>"
+    texts = [*texts, f"a {end} b", end * 3, f"{end}\n x{end[:-1]}", f" {end[1:]}  {end}'s {end}", f"é{end}é"]
     ids, begins = packing.Encoder(VOCABULARY).encode(texts)
     expected = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == expected
@@ -287,6 +288,33 @@ def test_warc_round_trip_with_magic_inside(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
 
 
+def test_warc_whatever_the_splits_of_the_second_read(spark):
+    fake = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(n, "u", f"{n} {fake * (n % 4)}x WARC/1.0\r\n {'y' * (n * 7)}") for n in range(40)]
+    folder = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {(n, len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()) for n, _, html in rows}
+    try:
+        for first, second in (("1000", saved), (saved, "700")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            records = warc.read_archives(spark, folder)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in records.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
+def test_warc_fails_rather_than_lose_a_record(spark):
+    rows = [(1, "u", "a WARC/1.0\r\n b"), (2, "u", "c")]
+    folder = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    every = warc.candidates(spark, folder)
+    torn = every.join(warc.reachable(every), ["file", "offset"], "left_semi").filter("digest IS NULL").select("file", "offset", "next")
+    assert warc._mended(spark, folder, every, torn).count() == 1
+    other = every.withColumn("content", F.lit(b"other"))
+    with pytest.raises(Exception, match="archive changed"):
+        warc._mended(spark, folder, other, torn).collect()
+
+
 def test_chat_is_reversible():
     pick = random.Random(3)
     atoms = [*chat.CONTROL, "<", "\\", "[", "/", "|", "a", "\n", "INST]", "|end|>"]
@@ -393,8 +421,34 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
 
 
-def test_pipeline_takes_odd_rows(spark, odd):
+CLASHING = (
+    "_mark", "_id", "_of", "_doc", "_packed", "_starts", "_row", "_rank", "spans", "score", "n_words", "n_removed", "fingerprint",
+    "component", "component_id", "features", "_text", "_low", "base", "other 0", "a.b", "low", "anchor", "key", "mark", "last",
+)
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_takes_odd_rows(spark, odd, empty):
     kept = odd.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", "))
-    for _, stage in corpus_pipeline.STAGES:
+    kept = kept.select("*", *[F.concat_ws(":", F.lit(name), "doc_id").alias(name) for name in CLASHING])
+    names = kept.columns
+    kept = kept.limit(0) if empty else kept
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, SF).cache()
-    assert kept.count() > 0
+        assert kept.columns == names
+        for row in kept.collect():
+            assert all(row[name] == (name if row.doc_id is None else f"{name}:{row.doc_id}") for name in CLASHING)
+    assert (kept.count() == 0) == empty
+    assert (corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() == 0) == empty
+
+
+def test_names_of_other_columns_do_not_matter(spark, odd):
+    docs = odd.select("doc_id", "text", *[F.concat_ws(":", F.lit(name), "doc_id").alias(name) for name in CLASHING if name != "a.b"])
+    own = {"n_words", "n_removed"}
+    cut = packing.token_pieces(docs, "text", VOCABULARY, 2, 64).drop("ids")
+    for found, made in ((substring_dedup.substring_dedup(docs, bits=1 << 12), own), (packing.pack_best_fit(cut, 64), set())):
+        assert set(docs.columns[2:]) <= set(found.columns)
+        rows = found.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+        for row in rows:
+            assert all(row[name] == (name if row.doc_id is None else f"{name}:{row.doc_id}") for name in docs.columns[2:] if name not in made)
