@@ -32,7 +32,6 @@ names. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,28 +67,70 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
+_BYTES[32] = 0
+_POWERS = np.multiply.accumulate(np.full(4096, _ODD))
+HASHED_WORDS = 1 << 15
+"""Words whose bytes are hashed at once."""
+
+
+def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word of ``data``, whose words are one blank apart; equal words have equal ones."""
+    out = np.empty(len(begins), dtype=np.uint64)
+    for a in range(0, len(begins), HASHED_WORDS):
+        first, last = begins[a : a + HASHED_WORDS], ends[a : a + HASHED_WORDS]
+        sizes = last - first + 1  # with the blank behind, which counts as zero
+        sizes[-1] -= 1
+        at = np.arange(first[0], last[-1]) - np.repeat(first, sizes)
+        weighted = _BYTES[data[first[0] : last[-1]]] * _POWERS[at & (len(_POWERS) - 1)]
+        out[a : a + HASHED_WORDS] = np.add.reduceat(weighted, first - first[0])
+    return _mixed(out)
+
+
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the least among each ``width`` neighbours is; spans double until two cover the width."""
+    lowest, where, span = values, np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        lower = lowest[step:] < lowest[:-step]
+        where = np.where(lower, where[step:], where[:-step])
+        lowest = np.where(lower, lowest[step:], lowest[:-step])
+        span += step
+    return where
+
+
 class Stretches:
     """The words of several texts, and their stretches of windows with one anchor."""
 
     def __init__(self, texts: list[str | None], window: int):
-        split = [text.encode().split() if text else [] for text in texts]
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        self.words = list(chain.from_iterable(split))
-        self.begins = np.concatenate(([0], np.cumsum(counts)))
-        n = len(self.words)
+        encoded = [text.encode() if text else b"" for text in texts]
+        raw = np.frombuffer(b" ".join(encoded), dtype=np.uint8)
+        white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        behind_white = np.concatenate(([True], white[:-1]))[: len(raw)]
+        opens = ~white & behind_white
+        upto = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)[:-1]
+        words = np.flatnonzero(opens)
+        n = len(words)
+        self.begins = np.concatenate(([0], np.searchsorted(words, upto), [n])) if texts else np.zeros(1, np.int64)
+        # All words in a row, one blank apart.
+        data = np.where(white, np.uint8(32), raw)[~(white & behind_white)]
+        blanks = np.flatnonzero(data == 32)
+        self.word_begins = np.concatenate(([0], blanks + 1))[:n]
+        self.word_ends = np.append(blanks, len(data))[:n]
+        self.data = data.tobytes()
         k = min(ANCHOR_WORDS, window)
         self.doc = self.first = self.windows = np.empty(0, np.int64)
         self.anchor = np.empty(0, np.uint64)
         if n < window:
             return
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=n)
+        hashes = _word_hashes(data, self.word_begins, self.word_ends)
         runs = np.zeros(n - k + 1, dtype=np.uint64)
         for j in range(k):
             runs = _mixed(runs + hashes[j : n - k + 1 + j])
         starts = np.arange(n - window + 1)
-        doc = np.repeat(np.arange(len(split)), counts)[: len(starts)]
+        doc = np.repeat(np.arange(len(texts)), np.diff(self.begins))[: len(starts)]
         inside = starts + window <= self.begins[doc + 1]
-        least = starts + np.lib.stride_tricks.sliding_window_view(runs, window - k + 1).argmin(axis=1)
+        least = _first_least(runs, window - k + 1)
         starts, doc, least = starts[inside], doc[inside], least[inside]
         if not len(starts):
             return
@@ -98,6 +139,11 @@ class Stretches:
         self.doc, self.first, self.anchor = doc[at], starts[at], runs[least[at]]
         self.windows = np.diff(np.append(at, len(starts)))
 
+    def texts_of(self, first: np.ndarray, behind: np.ndarray) -> list[bytes]:
+        """Words ``first`` to ``behind``, one blank apart."""
+        data = self.data
+        return [data[a:b] for a, b in zip(self.word_begins[first].tolist(), self.word_ends[behind - 1].tolist(), strict=True)]
+
 
 def _anchor_ranges(window: int, id_at: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +191,7 @@ def _occurrences(window: int, shared, bits: int):
                 hit = (noted[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
                 doc, first, anchor = found.doc[hit], found.first[hit], found.anchor[hit].view(np.int64)
                 ends = first + found.windows[hit] + window - 1
-                words = found.words
-                kept = [b" ".join(words[x:y]) for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+                kept = found.texts_of(first, ends)
                 keys = np.fromiter(map(xxhash.xxh64_intdigest, kept), dtype=np.uint64, count=len(kept)).view(np.int64)
                 owners = ids[a:b][doc]
                 marks = np.fromiter(map(_mark, texts[a:b]), dtype=np.int64, count=b - a)[doc]
