@@ -4,8 +4,8 @@ Every piece of text becomes token-position rows, one a byte at first. A recursiv
 neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank, until
 no piece has a pair left. Decoding joins the vocabulary and aggregates in order.
 
-Pieces are merged once per slice of text however often they occur, and a worker remembers the most
-recent ones, up to a bound. Nothing is shuffled, so a lost executor only costs its own tasks.
+Pieces are merged once per slice of text however often they occur, and a worker remembers those
+of its recent slices, up to a bound. Nothing is shuffled, so a lost executor only costs its own tasks.
 
 Null text counts as empty, empty text gives no ids, repeated rows are each encoded. Other columns
 pass through; ``ids`` and ``bytes`` replace columns of those names.
@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacelake.llm.common import slices
+from pacelake.llm.common import Recent, slices
 from pacelake.llm.pieces import cut_pieces, gather
 
-KNOWN_PIECES = 150_000
-"""Merged pieces that one worker remembers at most."""
+KNOWN_PIECES = 200_000
+"""Merged pieces of one generation; a worker remembers two generations at most, some 200 bytes a piece."""
 
-ROUND_PIECES = 10_000
-"""Pieces of one recursive query."""
+ROUND_ROWS = 1_000_000
+"""States of one recursive query at most: a piece of n bytes has up to n * n / 2. Places stay below 2^21 so."""
+
+NO_TOKEN = 2**32 - 1
+"""Follows a piece's last token; no pair with it merges."""
 
 LONG_PIECE = 128
 """Longer pieces, in bytes, are contracted query by query, all occurrences of a pair at once,
@@ -43,31 +46,32 @@ SLICE_TOKENS = 300_000
 """What a task encodes or decodes at once; a task may run both steps side by side."""
 
 CONTRACT = """
-WITH RECURSIVE step(w, p, t, q, n, i) AS (
-    SELECT w, p, t, p + 1, lead(t) OVER (PARTITION BY w ORDER BY p), 0 FROM pieces
+WITH RECURSIVE step(w, p, q, pair, i) AS (
+    SELECT w, p, q, pair, 0 FROM pieces
     UNION ALL
     SELECT * FROM (
-        WITH best AS (
-            SELECT s.w, min((m.merged::BIGINT << 32) | (s.p << 16) | s.q) AS b
-            FROM step s JOIN merges m ON m.l = s.t AND m.r = s.n GROUP BY s.w
-        ), cut AS (
-            SELECT s.*, ((b >> 16) & 65535)::INT AS h, (b & 65535)::INT AS g, (b >> 32)::INT AS m
-            FROM step s JOIN best USING (w)
-        ), tail AS (SELECT w, q, n FROM cut WHERE p = g)
-        SELECT c.w, c.p, CASE WHEN c.p = c.h THEN c.m ELSE c.t END,
-            CASE WHEN c.p = c.h THEN tail.q ELSE c.q END,
-            CASE WHEN c.p = c.h THEN tail.n WHEN c.q = c.h THEN c.m ELSE c.n END, c.i + 1
-        FROM cut c LEFT JOIN tail ON tail.w = c.w AND c.p = c.h WHERE c.p <> c.g
+        WITH least AS (
+            SELECT s.w, min((m.merged::BIGINT << 42) | (s.p::BIGINT << 21) | s.q) AS b
+            FROM step s JOIN merges m ON m.pair = s.pair GROUP BY s.w
+        ), best AS (
+            SELECT l.w, b >> 42 AS m, ((b >> 21) & 2097151)::INT AS h, t.p AS g, t.q, t.pair & 4294967295 AS n
+            FROM least l JOIN step t ON t.p = (b & 2097151)::INT
+        )
+        SELECT s.w, s.p, CASE WHEN s.p = h THEN b.q ELSE s.q END,
+            CASE WHEN s.p = h THEN (m << 32) | n WHEN s.q = h THEN (s.pair & -4294967296) | m ELSE s.pair END, s.i + 1
+        FROM step s JOIN best b USING (w) WHERE s.p <> g
     )
 )
-SELECT s.w, s.p, s.t FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY s.w, s.p
+SELECT s.w, (s.pair >> 32)::INT AS t FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY s.p
 """
+"""A row is a token of piece ``w`` at byte ``p`` of all pieces together: the next token's place ``q``, and ``pair``, both
+tokens in one number. The least of merged rank, place and next place is a piece's next merge, in one number too."""
 
 CONTRACT_LONG = """
 WITH paired AS (
     SELECT s.p, s.t, m.merged AS m
     FROM (SELECT p, t, lead(t) OVER (ORDER BY p) AS n FROM long_piece) s
-    LEFT JOIN merges m ON m.l = s.t AND m.r = s.n
+    LEFT JOIN merges m ON m.pair = (s.t::BIGINT << 32) | s.n
 ), marked AS (
     SELECT *, m = (SELECT min(m) FROM paired) AS hit FROM paired
 ), runs AS (
@@ -97,7 +101,7 @@ class Coder:
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(KNOWN_PIECES)
         self.db = duckdb.connect(config={
             "threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir() + "/bpe-spill",
         })
@@ -118,7 +122,7 @@ class Coder:
         ]
         left, right, merged = ([split[k] for split in splits] for k in range(3))
         self._keep("merges", pa.table({
-            "l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32()),
+            "pair": (np.array(left, dtype=np.int64) << 32) | np.array(right, dtype=np.int64), "merged": pa.array(merged, pa.int32()),
         }))
         return len(splits)
 
@@ -130,11 +134,13 @@ class Coder:
     def _contract(self, pieces: list[bytes]) -> list[bytes]:
         assert self.merges >= 0
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        begins = np.cumsum(lengths) - lengths
+        tokens = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)].astype(np.int64)
+        following = np.append(tokens[1:], NO_TOKEN)
+        following[np.cumsum(lengths) - 1] = NO_TOKEN
+        places = np.arange(len(tokens), dtype=np.int32)
         self.db.register("pieces", pa.table({
             "w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
-            "p": (np.arange(lengths.sum()) - np.repeat(begins, lengths)).astype(np.int32),
-            "t": self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)],
+            "p": places, "q": places + 1, "pair": (tokens << 32) | following,
         }))
         rows = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("pieces")
@@ -158,24 +164,20 @@ class Coder:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, packed."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        found: dict[bytes, bytes] = {}
+        found, unknown = self.known.find_all(pieces)
         short = []
-        for piece in pieces:
-            if piece in self.known:
-                found[piece] = self.known[piece]
-            elif piece in self.ranks:
+        for piece in unknown:
+            if piece in self.ranks:
                 found[piece] = np.int32(self.ranks[piece]).astype("<i4").tobytes()
             elif len(piece) > LONG_PIECE:
                 found[piece] = self._contract_long(piece)
             else:
                 short.append(piece)
-        for at in range(0, len(short), ROUND_PIECES):
-            part = short[at : at + ROUND_PIECES]
+        for a, b in slices([len(piece) ** 2 // 2 for piece in short], ROUND_ROWS):
+            part = short[a:b]
             merged = dict(zip(part, self._contract(part), strict=True))
             found |= merged
-            self.known |= merged
+            self.known.keep_all(merged)
         return [found[piece] for piece in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
