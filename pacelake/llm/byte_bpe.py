@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 from pacelake.llm.common import Recent, slices
 from pacelake.llm.pieces import cut_pieces, gather
 
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 130_000
 """Merged pieces of one generation; a worker remembers two generations at most, some 200 bytes a piece."""
 
-ROUND_ROWS = 1_000_000
+ROUND_ROWS = 500_000
 """States of one recursive query at most: a piece of n bytes has up to n * n / 2. Places stay below 2^21 so."""
 
 NO_TOKEN = 2**32 - 1
