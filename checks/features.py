@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from pacelake.operators import features as X, profile
 from pacelake.operators.impute import fit_neighbour_imputer
+from pacelake.operators.sparse import SparseOneHot
 from pacelake.schemas import BENEFIT_LABELS
 from pacelake.session import scratch_dir
 
@@ -172,6 +173,19 @@ def _(v):
     return X.OneHot.fit(df, ["parity"]).transform(df)
 
 
+@query("f9_f10_sparse_one_hot", """
+    SELECT activity_id, count(*) OVER () AS size, row_number() OVER (ORDER BY CAST(activity_id AS VARCHAR)) - 1 AS place,
+      concat('a', activity_id) AS back FROM sessions_v""")
+def _(v):
+    """A category for every activity, far more than dense columns could hold."""
+    df = v.sessions.select("activity_id", F.concat(F.lit("a"), F.col("activity_id").cast("string")).alias("back"))
+    coder = SparseOneHot.fit(df, ["back"])
+    cells = F.unwrap_udt("back_hot")
+    coded = coder.transform(df)
+    shown = coded.withColumns({"size": cells["size"].cast("long"), "place": F.get(cells["indices"], F.lit(0)).cast("long")})
+    return coder.inverse_transform(shown)
+
+
 @query("f10_inverse_one_hot", """
     SELECT activity_id, CASE WHEN activity_id % 10 = 0 THEN NULL ELSE sport END AS sport FROM sessions_v""")
 def _(v):

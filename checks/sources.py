@@ -10,7 +10,7 @@ from checks.registry import query
 from pacelake.operators import cleaning
 from pacelake.schemas import SLEEP_FILE, WORKOUT_FILE
 from pacelake.session import scratch_dir
-from pacelake.sources import messages, readers, sinks
+from pacelake.sources import ledger, messages, readers, sinks
 
 
 def _folder(v) -> str:
@@ -103,6 +103,21 @@ def _(v):
     return messages.malformed_counts(decoded.withColumn("fields", spoilt))
 
 
+@query("s15_sessions_appended", """
+    SELECT user_id, activity_id, seq, CAST(json_extract_string(fields, '$.max_heart_rate') AS DOUBLE) AS max_heart_rate
+    FROM values_v WHERE mesg = 'SESSION'""")
+def _(v):
+    """Files arrive in two lots, and every run sees all files there are."""
+    decoded = v.values.select("user_id", "activity_id", "seq", "mesg", F.from_json("fields", "map<string,string>").alias("fields"))
+    path = _folder(v)
+    places = {name: f"{path}/{name}" for name in ("source", "target", "ledger")}
+    for lot in range(2):
+        decoded.filter(F.pmod("user_id", F.lit(2)) == lot).write.mode("append").parquet(places["source"])
+        ledger.append_sessions(v.spark, **places)
+    out = ledger.read_sessions(v.spark, places["target"])
+    return out.select("user_id", "activity_id", "seq", "max_heart_rate")
+
+
 @query("s9_samples_per_workout", """
     SELECT activity_id, count(*) AS n, round(sum(CAST(json_extract_string(fields, '$.heart_rate') AS DOUBLE)), 2) AS heart_rate
     FROM messages_v WHERE mesg = 'RECORD' GROUP BY activity_id""")

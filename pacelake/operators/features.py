@@ -62,7 +62,7 @@ class RobustScaler:
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, v, n) over the non-null values of several columns, in one pass."""
-    long = df.select(*[_col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
+    long = df.select(*[_col(c).cast("string").alias(c) for c in columns]).unpivot([], [_col(c) for c in columns], "column", "v")
     return long.filter("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n"))
 
 
