@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pacelake.llm.common import free_names, slices
+from pacelake.llm.common import Recent, free_names, slices
 from pacelake.llm.pieces import cut_pieces, gather
 from pacelake.operators.ordering import running_sum
 from pacelake.session import staged
 
-KNOWN_PIECES = 150_000
-"""Encoded pieces that one worker remembers at most."""
+KNOWN_PIECES = 200_000
+"""Encoded pieces of one generation; a worker remembers two generations at most, some 200 bytes a piece."""
 
 SLICE_CHARS = 1_500_000
 """Text that a task encodes at once."""
@@ -67,11 +68,15 @@ class Encoder:
         longest = sorted(added, key=len, reverse=True)
         self.apart = re.compile("|".join(map(re.escape, longest))) if added else None
         self.characters = byte_characters()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(KNOWN_PIECES)
 
-    def _encode_piece(self, piece: bytes) -> bytes:
-        tokens = self.model.tokenize(piece.decode("latin-1").translate(self.characters))
-        return np.array([token.id for token in tokens], dtype="<u4").tobytes()
+    def _encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of each piece."""
+        tokenize, characters = self.model.tokenize, self.characters
+        return {
+            piece: array("I", [token.id for token in tokenize(piece.decode("latin-1").translate(characters))]).tobytes()
+            for piece in pieces
+        }
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin."""
@@ -93,14 +98,13 @@ class Encoder:
 
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces = cut_pieces(texts)
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
         vocabulary = pieces.vocabulary.to_pylist()
-        for piece in vocabulary:
-            if piece not in self.known:
-                self.known[piece] = self._encode_piece(piece)
-        packed = [self.known[piece] for piece in vocabulary]
-        flat = np.frombuffer(b"".join(packed), dtype="<u4")
+        found, unknown = self.known.find_all(vocabulary)
+        new = self._encode_pieces(unknown)
+        self.known.keep_all(new)
+        found |= new
+        packed = [found[piece] for piece in vocabulary]
+        flat = np.frombuffer(b"".join(packed), dtype=np.uint32)
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64)))
         ids, begins = gather(flat, offsets, pieces.index)
         return ids, begins[pieces.starts]
