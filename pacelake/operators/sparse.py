@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pacelake.operators.features import value_counts
 from pacelake.operators.ordering import number_rows
@@ -20,6 +21,24 @@ def hot(column: str) -> str:
     return f"{column}_hot"
 
 
+def _unit(place: Column, size: int) -> Column:
+    """Sparse vector of ``size`` with a 1 at ``place``, empty where that is NULL.
+
+    Spark's encoder describes every category in the column's metadata, which the driver holds; this has none.
+    """
+
+    @F.pandas_udf(VectorUDT())
+    def vector(places: pd.Series) -> pd.DataFrame:
+        known = places.notna()
+        at = [[int(i)] if k else [] for i, k in zip(places, known)]
+        return pd.DataFrame({
+            "type": pd.Series(0, places.index, dtype="int8"), "size": pd.Series(size, places.index, dtype="int32"),
+            "indices": at, "values": [[1.0] * len(i) for i in at],
+        }, index=places.index)
+
+    return vector(place)
+
+
 @dataclass
 class SparseOneHot:
     """A sparse 0/1 vector per categorical column, with a place for every category in sorted order.
@@ -33,7 +52,6 @@ class SparseOneHot:
     vocabulary: DataFrame
     sizes: dict[str, int]
     fill: dict[str, str]
-    encoder: OneHotEncoderModel
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> SparseOneHot:
@@ -43,11 +61,7 @@ class SparseOneHot:
         found = {r["column"]: r for r in vocabulary.groupBy("column").agg(F.count("*").alias("size"), usual.alias("v")).collect()}
         # A column without any value still needs a vector that holds nothing.
         sizes = {c: found[c]["size"] if c in found else 1 for c in columns}
-        # Names by number, as the encoder takes a dot in a name for a field of a struct.
-        places, vectors = ([f"{name}_{i}" for i in range(len(sizes))] for name in (_INDEX, _VECTOR))
-        largest = df.sparkSession.createDataFrame([[float(n - 1) for n in sizes.values()]], places)
-        encoder = OneHotEncoder(inputCols=places, outputCols=vectors, handleInvalid="keep", dropLast=True).fit(largest)
-        return cls(vocabulary, sizes, {c: r["v"] for c, r in found.items()}, encoder)
+        return cls(vocabulary, sizes, {c: r["v"] for c, r in found.items()})
 
     def _words(self, column: str) -> DataFrame:
         """A column's part of the vocabulary; broadcast only if it is known to be small."""
@@ -60,11 +74,9 @@ class SparseOneHot:
             value = F.col(f"`{c}`").cast("string")
             if c in self.fill:
                 value = F.coalesce(value, F.lit(self.fill[c]))
-            place = F.coalesce(F.col(_INDEX), F.lit(size)).cast("double")
             df = df.withColumn(_VALUE, value).join(self._words(c), _VALUE, "left")
-            df = df.withColumn(f"{_INDEX}_{i}", place).drop(_VALUE, _INDEX)
-        out = self.encoder.transform(df).drop(*self.sizes, *self.encoder.getInputCols())
-        return out.withColumnsRenamed({f"{_VECTOR}_{i}": hot(c) for i, c in enumerate(self.sizes)})
+            df = df.withColumn(f"{_VECTOR}_{i}", _unit(F.col(_INDEX), size)).drop(_VALUE, _INDEX)
+        return df.drop(*self.sizes).withColumnsRenamed({f"{_VECTOR}_{i}": hot(c) for i, c in enumerate(self.sizes)})
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         """Category of the largest value above 0, the first of equal ones; NULL where there is none.

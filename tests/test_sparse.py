@@ -37,6 +37,13 @@ def test_null_unknown_and_empty(spark):
     assert coder.transform(df.limit(0)).count() == 0
 
 
+def test_no_category_is_described_in_the_schema(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("c"))
+    coded = SparseOneHot.fit(df, ["c"]).transform(df)
+    assert coded.schema["c_hot"].metadata == {}
+    assert "ml_attr" not in coded._jdf.schema().json()
+
+
 def test_a_table_without_rows(spark):
     df = spark.createDataFrame([], "id int, c string")
     coder = SparseOneHot.fit(df, ["c"])
