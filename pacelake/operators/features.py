@@ -20,7 +20,7 @@ from pacelake.schemas import (
     IMPUTE_NEIGHBOURS, SESSION_BENEFIT, SESSION_EXCLUDE, SESSION_SPEED, SESSION_STAMINA,
     SESSION_STAMINA_FILL, SESSION_TIMES, SPARSE_SHARE,
 )
-from pacelake.session import cut_lineage
+from pacelake.session import staged
 
 MAX_CATEGORIES = 1000
 
@@ -196,19 +196,31 @@ class EncoderModel:
             out = self.imputer.transform(out)
         return _fill_constants(out, self.settings)
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def _wanted(self, columns: Sequence[str], keep: Sequence[str]) -> tuple[list[str], list[str]]:
+        """Columns that come out as they are, and those of them that are features too."""
+        s = self.settings
+        wanted = list(dict.fromkeys(c for c in [*s.keys, s.row_id, *s.block, *keep] if c in columns))
+        used = {*self.neighbour_columns, *s.constant, *s.speed, *self.one_hot.values, *s.times}
+        return wanted, [c for c in wanted if c in used]
+
+    def _taken(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         s = self.settings
-        wanted = [*s.keys, s.row_id, *s.block, *keep]
-        wanted = list(dict.fromkeys(c for c in wanted if c in df.columns))
+        wanted, extra = self._wanted(df.columns, keep)
         used = [*self.neighbour_columns, *s.constant, *s.speed, *self.one_hot.values, *s.times]
-        extra = [c for c in wanted if c in used]
-        df = df.select(*dict.fromkeys([*wanted, *used]), *[_col(c).alias(f"_keep_{c}") for c in extra])
-        out = self.scaler.transform(self.fill(df))
-        out = self.one_hot.transform(_label_benefit(out, s))
+        return df.select(*dict.fromkeys([*wanted, *used]), *[_col(c).alias(f"_keep_{c}") for c in extra])
+
+    def _encoded(self, filled: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The rest of ``transform``, for rows that are filled already."""
+        s = self.settings
+        wanted, extra = self._wanted(filled.columns, keep)
+        out = self.one_hot.transform(_label_benefit(self.scaler.transform(filled), s))
         out = cyclic.encode_times(out, s.times)
         kept = [_col(f"_keep_{c}").alias(c) if c in extra else _col(c) for c in wanted]
         return out.select(*kept, *[_col(c) for c in self.feature_columns])
 
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return self._encoded(self.fill(self._taken(df, keep)), keep)
+
     def inverse_transform(self, df: DataFrame, keep: Sequence[str] = (), snap: bool = False) -> DataFrame:
         """Encoded rows, such as predictions, as readable columns.
 
@@ -272,6 +284,17 @@ def _label_benefit(df: DataFrame, s: Settings) -> DataFrame:
 
 def fit_encoder(df: DataFrame, settings: Settings) -> EncoderModel:
     """Fit all parts of an encoder on one table."""
+    return _fit_filled(df, settings, None)[0]
+
+
+def fit_transform(df: DataFrame, settings: Settings, keep: Sequence[str] = ()) -> tuple[EncoderModel, DataFrame]:
+    """A fitted encoder and the table it was fitted on as ``transform`` gives it; neighbours are searched once for both."""
+    model, filled = _fit_filled(df, settings, keep)
+    return model, model._encoded(filled, keep)
+
+
+def _fit_filled(df: DataFrame, settings: Settings, keep: Sequence[str] | None) -> tuple[EncoderModel, DataFrame]:
+    """The encoder and its filled table, with what ``_encoded`` needs of it, or without ``keep`` only the scaled columns."""
     names = [*settings.keys, settings.row_id, *settings.block]
     total, nulls = profile.null_counts(df.drop(*names))
     sparse = {c for c, n in nulls.items() if n >= total * settings.sparse_share}
@@ -295,31 +318,42 @@ def fit_encoder(df: DataFrame, settings: Settings) -> EncoderModel:
     hot.fill.pop(s.benefit, None)
     model = EncoderModel(s, neighbour, marked, imputer, RobustScaler({}), hot)
     scaled = [*neighbour, *s.speed, *s.constant, *map(indicator, marked)]
-    filled = model.fill(df).select(*[_col(c) for c in scaled]) if scaled else df
+    if keep is not None:
+        filled = model.fill(model._taken(df, keep))
+    else:
+        filled = model.fill(df).select(*[_col(c) for c in scaled]) if scaled else df
     if imputer is not None:
-        filled = cut_lineage(filled)  # read twice; neighbours are searched once
-    return replace(model, scaler=RobustScaler.fit(filled, scaled))
+        filled = staged(filled)  # read often; neighbours are searched once
+    return replace(model, scaler=RobustScaler.fit(filled, scaled)), filled
 
 
 def fit_history_encoder(df: DataFrame, row_id: str, block: Sequence[str] = ("user_id",), **changes) -> EncoderModel:
     """Encoder of the merged history: neighbours, zero fill, speeds, two categories, times."""
+    return fit_encoder(df, history_settings(row_id, block, **changes))
+
+
+def history_settings(row_id: str, block: Sequence[str] = ("user_id",), **changes) -> Settings:
     settings = Settings(
         keys=["user_id"], row_id=row_id, block=list(block), exclude=list(HISTORY_EXCLUDE),
         constant=dict.fromkeys(HISTORY_ZERO_FILL, 0.0), speed=list(HISTORY_SPEED),
         one_hot=list(HISTORY_CATEGORIES), times=list(HISTORY_TIMES),
     )
-    return fit_encoder(df, replace(settings, **changes))
+    return replace(settings, **changes)
 
 
 def fit_session_encoder(df: DataFrame, row_id: str, block: Sequence[str] = ("user_id",), **changes) -> EncoderModel:
     """Encoder of the sessions, the one whose output is predicted and decoded."""
+    return fit_encoder(df, session_settings(row_id, block, **changes))
+
+
+def session_settings(row_id: str, block: Sequence[str] = ("user_id",), **changes) -> Settings:
     settings = Settings(
         keys=["user_id"], row_id=row_id, block=list(block), exclude=list(SESSION_EXCLUDE),
         constant={SESSION_STAMINA: SESSION_STAMINA_FILL}, speed=list(SESSION_SPEED),
         one_hot=["sport"], times=list(SESSION_TIMES), benefit=SESSION_BENEFIT,
         indicators=True, sparse_share=1.0,
     )
-    return fit_encoder(df, replace(settings, **changes))
+    return replace(settings, **changes)
 
 
 def fit_plain_session_encoder(df: DataFrame, row_id: str, block: Sequence[str] = ("user_id",), **changes) -> EncoderModel:

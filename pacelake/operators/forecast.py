@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pacelake.functions import scalars as S
 from pacelake.operators import linear, windows
-from pacelake.operators.features import EncoderModel, OneHot, fit_history_encoder, fit_session_encoder
+from pacelake.operators.features import EncoderModel, OneHot, fit_transform, history_settings, session_settings
 from pacelake.operators.merge import rows_per_model, tag_union
 from pacelake.operators.ordering import newest_time, number_rows
 from pacelake.schemas import MODEL_SPORTS, SESSION_STAMINA, SESSION_TIMES, WINDOW_ROWS
-from pacelake.session import cut_lineage, staged
+from pacelake.session import staged
 
 USER = "user_id"
 MAX_MODELS = 1000
@@ -71,7 +71,10 @@ class Config:
 
 def _encode_history(encoder: EncoderModel, history: DataFrame, cfg: Config, keep: Sequence[str] = ()) -> DataFrame:
     """History rows with their encoded features as one array ``x``, and other columns to keep."""
-    encoded = encoder.transform(history, keep=[cfg.begin, *keep])
+    return _as_vectors(encoder, encoder.transform(history, keep=[cfg.begin, *keep]), cfg, keep)
+
+
+def _as_vectors(encoder: EncoderModel, encoded: DataFrame, cfg: Config, keep: Sequence[str] = ()) -> DataFrame:
     return windows.feature_vector(encoded, encoder.feature_columns).select(USER, cfg.history_id, cfg.begin, *keep, "x")
 
 
@@ -89,17 +92,23 @@ def _with_features(framed: DataFrame, width: int, cfg: Config) -> DataFrame:
     return summary.withColumn("features", array_to_vector(F.concat("window_mean", "window_last", "window_trend")))
 
 
+def _feature_count(encoder: EncoderModel, cfg: Config) -> int:
+    """Length of ``features``."""
+    return len(encoder.feature_columns) * (cfg.window_rows if cfg.flat else 3)
+
+
 def training_matrix(
     history: DataFrame, sessions: DataFrame, history_encoder: EncoderModel, session_encoder: EncoderModel, cfg: Config,
-    past: DataFrame | None = None,
+    past: DataFrame | None = None, targets: DataFrame | None = None,
 ) -> DataFrame:
     """One row per session with enough history before it: ``features`` and target columns.
 
-    ``past`` is the history as ``encode_history`` gives it, if that is there already.
+    ``past`` is the history as ``encode_history`` gives it and ``targets`` the encoded sessions, if these are there already.
     """
     if past is None:
-        past = encode_history(history_encoder, history, cfg)
-    targets = staged(session_encoder.transform(sessions, keep=[cfg.start]))
+        past = encode_history(history_encoder, staged(history), cfg)
+    if targets is None:
+        targets = staged(session_encoder.transform(sessions, keep=[cfg.start]))
     framed = windows.training_windows(
         past, targets, ["x"], begin=cfg.begin, row_id=cfg.history_id, start=cfg.start,
         session_id=cfg.session_id, n=cfg.window_rows, mode=cfg.mode,
@@ -152,7 +161,7 @@ class ForecastModel:
         """(user, days_back, window): encoded windows seen from each of the last days."""
         cfg = self.config
         names = {"begin": cfg.begin, "row_id": cfg.history_id, "n": cfg.window_rows}
-        past = encode_history(self.history_encoder, windows.recent_rows(history, days, **names), cfg)
+        past = encode_history(self.history_encoder, staged(windows.recent_rows(history, days, **names)), cfg)
         return windows.windows_for_anchors(past, windows.day_anchors(past, days, cfg.begin), ["x"], **names)
 
     def predict(self, windowed: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -168,7 +177,7 @@ class ForecastModel:
             history.withColumnRenamed("age", "_own_age"), date,
             begin=cfg.begin, row_id=cfg.history_id, n=cfg.window_rows,
         ).withColumnRenamed("age", "_age").withColumnRenamed("_own_age", "age")
-        past = _encode_history(self.history_encoder, rows, cfg, ["_age"]).withColumnRenamed("_age", "age")
+        past = _encode_history(self.history_encoder, staged(rows), cfg, ["_age"]).withColumnRenamed("_age", "age")
         return self.predict(collect_window(past), [USER])
 
     def predict_for_last_days(self, history: DataFrame, days: int = 30) -> DataFrame:
@@ -236,7 +245,7 @@ def fit_sport_classifier(matrix: DataFrame, hot: OneHot) -> LogisticRegressionMo
         index = F.when(F.col(f"`{name}`") == 1.0, F.lit(float(found.index(v)))).otherwise(index)
     labelled = matrix.select("features", index.alias("label"))
     learner = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=50, predictionCol="sport_index")
-    return learner.fit(cut_lineage(labelled))
+    return learner.fit(staged(labelled))
 
 
 def fit_learners(
@@ -244,7 +253,7 @@ def fit_learners(
 ) -> dict[str, Model]:
     """One distributed fit per target column over the same rows, which are computed once."""
     if cut:
-        matrix = cut_lineage(matrix)
+        matrix = staged(matrix)
     extra = ["held_out"] if "held_out" in matrix.columns else []
 
     def fit(target: str) -> Model:
@@ -256,16 +265,16 @@ def fit_learners(
 
 
 def fit_linear(
-    matrix: DataFrame, targets: Sequence[str], hot: OneHot | None = None, cfg: Config | None = None
+    matrix: DataFrame, targets: Sequence[str], hot: OneHot | None = None, cfg: Config | None = None, width: int | None = None
 ) -> tuple[linear.LinearTargets, linear.Rounds | None]:
-    """All targets from one pass over the matrix.
+    """All targets from one pass over the matrix; ``width`` is the number of features, if that is known.
 
     With a column ``held_out`` the numbers are learnt in rounds that stop early on those rows, which no fit
     learns from. With ``hot`` its categories come as softmax heads.
     """
     cfg = cfg or Config()
     marked = "held_out" in matrix.columns
-    found = linear.grams(matrix, targets, part="held_out" if marked else None)
+    found = linear.grams(matrix, targets, part="held_out" if marked else None, width=width)
     empty = linear.Gram(np.zeros_like(next(iter(found.values())).products), next(iter(found.values())).width)
     train = found.get(0, empty)
     heads = []
@@ -284,8 +293,9 @@ def fit_linear(
 
 
 def _fit_history(history: DataFrame, cfg: Config) -> tuple[EncoderModel, DataFrame]:
-    encoder = fit_history_encoder(history, cfg.history_id, **cfg.history_options)
-    return encoder, encode_history(encoder, history, cfg)
+    # The history may be a join; the fit reads it often, and the imputer keeps it for later rows.
+    encoder, encoded = fit_transform(staged(history), history_settings(cfg.history_id, **cfg.history_options), [cfg.begin])
+    return encoder, _as_vectors(encoder, encoded, cfg)
 
 
 def train(
@@ -300,15 +310,18 @@ def train(
     """
     cfg = config or Config()
     history_encoder, past = encoded or _fit_history(history, cfg)
-    session_encoder = fit_session_encoder(sessions, cfg.session_id, **cfg.session_options)
-    matrix = training_matrix(history, sessions, history_encoder, session_encoder, cfg, past)
-    if hold_out is not None:
-        matrix = hold_out_newest(matrix, hold_out, cfg.start, cfg.session_id)
-    matrix = cut_lineage(matrix)  # learners per column read it once each
+    session_encoder, encoded_sessions = fit_transform(
+        sessions, session_settings(cfg.session_id, **cfg.session_options), [cfg.start])
+    matrix = training_matrix(history, sessions, history_encoder, session_encoder, cfg, past, encoded_sessions)
     targets = session_encoder.feature_columns
-    if learner is None and not cfg.classify_sport:
+    one_pass = learner is None and not cfg.classify_sport
+    if hold_out is not None:
+        matrix = hold_out_newest(staged(matrix), hold_out, cfg.start, cfg.session_id)
+    elif not one_pass:
+        matrix = staged(matrix)  # learners per column read it once each
+    if one_pass:
         hot = session_encoder.one_hot if cfg.softmax_heads else None
-        fitted, rounds = fit_linear(matrix, targets, hot, cfg)
+        fitted, rounds = fit_linear(matrix, targets, hot, cfg, _feature_count(history_encoder, cfg))
         return ForecastModel(cfg, history_encoder, session_encoder, {}, None, fitted, rounds)
     learner = learner or squared_loss
     sport_learner = None

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pacelake.operators.ordering import number_rows
 from pacelake.schemas import IMPUTE_NEIGHBOURS
-from pacelake.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, cut_lineage, is_small, staged
+from pacelake.session import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, is_small, staged
 
 TILE_ROWS = 4096
 VISIT_ROWS = 4096
 BATCH_ROWS = 20_000
 AXES = 4
 BUCKET_BITS = 4
-_STEP = 64
+_CELLS = 1 << 18  # pairs of rows compared at once
 
 
 def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
@@ -42,12 +42,13 @@ def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
     return rows[[f"v{i}" for i in range(width)]].to_numpy(dtype="float64")
 
 
-def _distances(rows: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """Squared distances over shared columns, scaled by all / shared; inf if none is shared."""
-    total = np.zeros((len(rows), len(donors)))
-    shared = np.zeros_like(total)
+def _distances(rows: np.ndarray, donors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of each row to the donors ``at`` it, over shared columns, scaled by all / shared; inf if
+    none is shared."""
+    total = np.zeros(at.shape)
+    shared = np.zeros(at.shape)
     for f in range(rows.shape[1]):
-        gap = rows[:, f, None] - donors[None, :, f]
+        gap = rows[:, f, None] - donors[:, f][at]
         known = ~np.isnan(gap)
         total += np.where(known, gap * gap, 0.0)
         shared += known
@@ -66,27 +67,55 @@ def _smallest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[rank < k], col[rank < k]
 
 
-def _neighbours(rows: np.ndarray, donors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass
+class _Groups:
+    """For each row of one side, where its group's rows are on the other side, in that side's order."""
+
+    order: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> _Groups:
+        both = pd.concat([a[keys], b[[f"d_{k}" for k in keys]].set_axis(keys, axis=1)], ignore_index=True)
+        group = both.groupby(keys, sort=False).ngroup().fillna(-1).to_numpy(dtype="int64")  # -1: a key is NULL
+        ours, theirs = group[:len(a)], group[len(a):]
+        order = np.argsort(theirs, kind="stable")
+        start = np.searchsorted(theirs[order], ours)
+        count = np.searchsorted(theirs[order], ours, side="right") - start
+        return cls(order, start, np.where(ours < 0, 0, count))
+
+    def slabs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, places, valid): rows of groups of like size at once, each with its group's rows on the other side.
+
+        Many groups are tiny, so that one step for each would cost more than its arithmetic.
+        """
+        rows = np.argsort(-self.count, kind="stable")
+        rows = rows[:np.count_nonzero(self.count)]
+        low = 0
+        while low < len(rows):
+            width = int(self.count[rows[low]])
+            part = rows[low:low + max(1, _CELLS // width)]
+            low += len(part)
+            nth = np.arange(width)
+            valid = nth < self.count[part][:, None]
+            yield part, self.order[np.where(valid, self.start[part][:, None] + nth, 0)], valid
+
+
+def _neighbours(
+    rows: np.ndarray, donors: np.ndarray, groups: _Groups, k: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(column, rows, donors, squared distances), one entry per row lacking the column and
-    each of its k nearest donors; donors come sorted by id."""
-    for low in range(0, len(rows), _STEP):
-        part = rows[low:low + _STEP]
-        dist = _distances(part, donors)
+    each of its k nearest donors of its group; donors come sorted by id."""
+    for part, at, valid in groups.slabs():
+        dist = np.where(valid, _distances(rows[part], donors, at), np.inf)
         for f in range(rows.shape[1]):
-            lacking = np.flatnonzero(np.isnan(part[:, f]))
-            having = np.flatnonzero(~np.isnan(donors[:, f]))
-            if len(lacking) and len(having):
-                sub = dist[np.ix_(lacking, having)]
+            lacking = np.flatnonzero(np.isnan(rows[part, f]))
+            if len(lacking):
+                having = ~np.isnan(donors[:, f])[at[lacking]]
+                sub = np.where(having, dist[lacking], np.inf)
                 r, d = _smallest(sub, k)
-                yield f, low + lacking[r], having[d], sub[r, d]
-
-
-def _groups(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of both sides for each key of the first."""
-    donors = b.groupby([f"d_{k}" for k in keys], sort=False).indices
-    none = np.array([], dtype="int64")
-    for key, at in a.groupby(keys, sort=False).indices.items():
-        yield at, donors.get(key, none)
+                yield f, part[lacking[r]], at[lacking[r], d], sub[r, d]
 
 
 def _fill_blocks(keys: list[str], width: int, k: int):
@@ -96,10 +125,9 @@ def _fill_blocks(keys: list[str], width: int, k: int):
         b = b.sort_values("rid")
         need, have = _matrix(a, width), _matrix(b, width)
         total, count = np.zeros_like(need), np.zeros_like(need)
-        for at, donors in _groups(a, b, keys):
-            for f, row, donor, _ in _neighbours(need[at], have[donors], k):
-                np.add.at(total[:, f], at[row], have[donors[donor], f])
-                np.add.at(count[:, f], at[row], 1.0)
+        for f, row, donor, _ in _neighbours(need, have, _Groups.of(a, b, keys), k):
+            np.add.at(total[:, f], row, have[donor, f])
+            np.add.at(count[:, f], row, 1.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             filled = np.where(np.isnan(need), total / count, need)
         out = a[[*keys, "rid"]].reset_index(drop=True)
@@ -116,10 +144,8 @@ def _search_tiles(keys: list[str], width: int, k: int):
         need, have = _matrix(a, width), _matrix(b, width)
         ids = b["rid"].to_numpy()
         parts = [(np.array([], "int64"), np.array([], "int32"), np.array([]), ids[:0], np.array([]))]
-        for at, donors in _groups(a, b, keys):
-            for f, row, donor, dist in _neighbours(need[at], have[donors], k):
-                found = donors[donor]
-                parts.append((at[row], np.full(len(row), f, "int32"), dist, ids[found], have[found, f]))
+        for f, row, donor, dist in _neighbours(need, have, _Groups.of(a, b, keys), k):
+            parts.append((row, np.full(len(row), f, "int32"), dist, ids[donor], have[donor, f]))
         row, f, dist, donor, value = (np.concatenate(x) for x in zip(*parts))
         out = a[[*keys, "rid"]].take(row).reset_index(drop=True)
         return out.assign(f=f, dist=dist, donor=donor, value=value)
@@ -142,39 +168,41 @@ def _choose_tiles(keys: list[str], width: int, k: int, axes: list[int]):
         sides = (b[[f"{side}{i}" for i in range(width)]].to_numpy(dtype="float64") for side in ("lo", "hi", "have"))
         return *sides, b["along"].to_numpy(dtype="int64")
 
-    def usable(need: np.ndarray, low: np.ndarray, along: np.ndarray) -> np.ndarray:
-        known, theirs = ~np.isnan(need[:, axes]), ~np.isnan(low[:, axes])
-        shared = known[:, None, :] & theirs[None, :, :]
-        single = (shared.sum(axis=2) == 1) & (theirs.sum(axis=1) > 1)
-        wanted = np.where(single, np.array(axes)[shared.argmax(axis=2)], -1)
-        return wanted == along
-
-    def home(need: np.ndarray, ours: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray) -> np.ndarray:
-        far = np.where(ours, np.minimum(_distances(need, (low + high) / 2), np.finfo("float64").max), np.inf)
-        at = np.zeros(far.shape, dtype=bool)
+    def usable(need: np.ndarray, low: np.ndarray, along: np.ndarray, at: np.ndarray) -> np.ndarray:
+        theirs = ~np.isnan(low[:, axes])
+        several = theirs.sum(axis=1) > 1
+        shared, last = np.zeros(at.shape, dtype="int64"), np.zeros(at.shape, dtype="int64")
+        for nth, axis in enumerate(axes):
+            both = ~np.isnan(need[:, axis])[:, None] & theirs[:, nth][at]
+            shared += both
+            last = np.where(both, axis, last)  # the shared axis, if there is a single one
+        return np.where((shared == 1) & several[at], last, -1) == along[at]
+
+    def home(need: np.ndarray, ours: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray, at: np.ndarray) -> np.ndarray:
+        far = np.where(ours, np.minimum(_distances(need, (low + high) / 2, at), np.finfo("float64").max), np.inf)
+        visits = np.zeros(far.shape, dtype=bool)
         for f in range(width):
             lacking = np.flatnonzero(np.isnan(need[:, f]))
-            enough = np.flatnonzero(have[:, f] >= k)
-            if len(lacking) and len(enough):
-                far_f = far[np.ix_(lacking, enough)]
+            if len(lacking):
+                far_f = np.where((have[:, f] >= k)[at[lacking]], far[lacking], np.inf)
                 nearest = np.argmin(far_f, axis=1)
                 found = np.isfinite(far_f[np.arange(len(lacking)), nearest])
-                at[lacking[found], enough[nearest[found]]] = True
-        return at
+                visits[lacking[found], nearest[found]] = True
+        return visits
 
-    def within(need: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray) -> np.ndarray:
-        least = np.zeros((len(need), len(low)))
+    def within(need: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray, have: np.ndarray, at: np.ndarray) -> np.ndarray:
+        least, shared = np.zeros(at.shape), np.zeros(at.shape)
         for f in range(width):
-            gap = np.fmax(np.fmax(low[None, :, f] - need[:, f, None], need[:, f, None] - high[None, :, f]), 0.0)
-            least += np.where(np.isnan(gap), 0.0, gap * gap)
-        # A donor shares at most the row's features that some donor of the tile knows.
-        shared = (~np.isnan(need)).astype("float64") @ (have > 0).T.astype("float64")
+            gap = np.fmax(np.fmax(low[:, f][at] - need[:, f, None], need[:, f, None] - high[:, f][at]), 0.0)
+            least += gap * gap  # 0 where a side is not known
+            # A donor shares at most the row's features that some donor of the tile knows.
+            shared += ~np.isnan(need[:, f])[:, None] & (have[:, f] > 0)[at]
         with np.errstate(divide="ignore", invalid="ignore"):
             least = np.where(shared > 0, least * (width / shared) * (1 - 1e-9), np.nan)  # room for rounding
         reached = np.zeros(least.shape, dtype=bool)
         for f in range(width):
             lacking = np.isnan(need[:, f])[:, None]
-            reached |= lacking & (have[None, :, f] > 0) & (least <= bound[:, f, None])
+            reached |= lacking & (have[:, f] > 0)[at] & (least <= bound[:, f, None])
         return reached
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -182,17 +210,14 @@ def _choose_tiles(keys: list[str], width: int, k: int, axes: list[int]):
         need, tiles, boxes = _matrix(a, width), b["d_tile"].to_numpy(), boxes_of(b)
         bound = a[[f"g{i}" for i in range(width)]].to_numpy(dtype="float64") if "g0" in a else None
         rows, found = [np.array([], "int64")], [tiles[:0]]
-        for at, box in _groups(a, b, keys):
-            own = tuple(side[box] for side in boxes)
-            for low in range(0, len(at) if len(box) else 0, _STEP):
-                part = at[low:low + _STEP]
-                ours = usable(need[part], own[0], own[3])
-                visits = home(need[part], ours, *own[:3])
-                if bound is not None:
-                    visits = within(need[part], bound[part], *own[:3]) & ours & ~visits
-                r, t = np.nonzero(visits)
-                rows.append(part[r])
-                found.append(tiles[box[t]])
+        for part, at, valid in _Groups.of(a, b, keys).slabs():
+            ours = usable(need[part], boxes[0], boxes[3], at) & valid
+            visits = home(need[part], ours, *boxes[:3], at)
+            if bound is not None:
+                visits = within(need[part], bound[part], *boxes[:3], at) & ours & ~visits
+            r, t = np.nonzero(visits)
+            rows.append(part[r])
+            found.append(tiles[at[r, t]])
         cells = [f"v{i}" for i in range(width)]
         out = a[[*keys, "rid", *cells]].take(np.concatenate(rows)).reset_index(drop=True)
         return out.assign(tile=np.concatenate(found))
@@ -262,7 +287,7 @@ class NeighbourImputer:
         need = self._vectors(df).filter(F.exists("v", lambda x: x.isNull()))
         sides = donors.select(*self.block, F.lit(1).alias("d")).union(need.select(*self.block, F.lit(0)))
         sizes = sides.groupBy(*self.block).agg(F.sum("d").alias("d"), F.sum(1 - F.col("d")).alias("r"))
-        sizes = cut_lineage(sizes.withColumns({
+        sizes = staged(sizes.withColumns({
             "_indexed": F.col("d") > self.tile_rows, "_parts": F.greatest(F.ceil(F.col("r") / self.tile_rows), F.lit(1)),
         }))
         n_rows, n_indexed, n_split = sizes.agg(
@@ -297,7 +322,7 @@ class NeighbourImputer:
         """(block, tile, rid, v), the tiles' boxes and the axes, for athletes with more donors than a tile; written once."""
         donors = self._vectors(self.donors)
         wide = donors.groupBy(*self.block).agg(F.count("*").alias("n")).filter(F.col("n") > self.tile_rows).drop("n")
-        wide = cut_lineage(wide)
+        wide = staged(wide)
         donors = donors.join(F.broadcast(wide) if is_small(wide) else wide, self.block, "left_semi")
         # More than k equal rows never matter: the first k by id come before the others.
         same = Window.partitionBy(*self.block, "v").orderBy("rid")
@@ -341,10 +366,10 @@ class NeighbourImputer:
     def _solve_large(self, need: DataFrame) -> DataFrame:
         tiles, boxes, axes = self._index
         # Equal incomplete rows have equal answers.
-        asked = cut_lineage(need.groupBy(*self.block, "v").agg(F.min("rid").alias("rid")))
-        near = cut_lineage(self._nearest(cut_lineage(self._visits(asked, boxes, axes)), tiles))
-        bounded = cut_lineage(asked.join(self._bounds(near), [*self.block, "rid"], "left"))
-        more = self._nearest(cut_lineage(self._visits(bounded, boxes, axes)), tiles)
+        asked = staged(need.groupBy(*self.block, "v").agg(F.min("rid").alias("rid")))
+        near = staged(self._nearest(staged(self._visits(asked, boxes, axes)), tiles))
+        bounded = staged(asked.join(self._bounds(near), [*self.block, "rid"], "left"))
+        more = self._nearest(staged(self._visits(bounded, boxes, axes)), tiles)
         rank = Window.partitionBy(*self.block, "rid", "f").orderBy("dist", "donor")
         best = near.unionByName(more).withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= self.k)
         means = best.groupBy(*self.block, "rid", "f").agg(F.avg("value").alias("value"))

@@ -84,15 +84,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def grams(matrix: DataFrame, targets: Sequence[str], features: str = "features", part: str | None = None) -> dict[int, Gram]:
+def grams(
+    matrix: DataFrame, targets: Sequence[str], features: str = "features", part: str | None = None, width: int | None = None,
+) -> dict[int, Gram]:
     """The sums of products, apart for each value of the 0/1 column ``part``, from one pass.
 
     Rows that lack a target are left out; a missing feature or row of features is an error of the caller.
+    Without ``width``, the number of features, the first row is computed beforehand to see it.
     """
-    first = matrix.select(F.size(_cells(matrix, features))).first()
-    if first is None:
-        raise ValueError("no rows to learn from")
-    width, size = first[0], 1 + first[0] + len(targets)
+    if width is None:
+        first = matrix.select(F.size(_cells(matrix, features))).first()
+        if first is None:
+            raise ValueError("no rows to learn from")
+        width = first[0]
+    size = 1 + width + len(targets)
     if size > MAX_COLUMNS:
         raise ValueError(f"{size} columns; at most {MAX_COLUMNS} fit one matrix")
     truths = [F.col(f"`{t}`").cast("double") for t in targets]
@@ -112,6 +117,8 @@ def grams(matrix: DataFrame, targets: Sequence[str], features: str = "features",
         block = np.frombuffer(row["block"]).reshape(high, -1)
         found[i:i + high, j:j + block.shape[1]] = block
         found[j:j + block.shape[1], i:i + high] = block.T
+    if not out:
+        raise ValueError("no rows to learn from")
     return out
 
 

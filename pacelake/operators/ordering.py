@@ -29,13 +29,15 @@ def running_sum(
     weight: Column,
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``name``: sum of ``weight`` over the group's rows up to and including this one.
 
-    ``order`` names columns, ascending, and must be total within a group.
+    ``order`` names columns, ascending, and must be total within a group. ``largest`` bounds the
+    rows of a group, if that is known; else they are counted.
     """
     keys, order = list(keys), list(order)
-    if largest_group(df, keys) <= max_group_rows:
+    if (largest_group(df, keys) if largest is None else largest) <= max_group_rows:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
@@ -77,9 +79,10 @@ def number_rows(
     order: Sequence[str],
     name: str = "pos",
     max_group_rows: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group."""
-    out = running_sum(df, keys, order, F.lit(1).cast("long"), name, max_group_rows)
+    out = running_sum(df, keys, order, F.lit(1).cast("long"), name, max_group_rows, largest)
     return out.withColumn(name, F.col(name) - 1)
 
 

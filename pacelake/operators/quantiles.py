@@ -86,17 +86,25 @@ def _batches(items: Sequence, sizes: Sequence[int], limit: int) -> Iterator[list
         yield batch
 
 
-def _sketch(c: Column, fraction: float, rows: int, missed: int = 0) -> Column:
-    """Bracket by twice the sketch's error plus two ranks; wider after each miss."""
+def _margins(fraction: float, rows: int, missed: int = 0) -> list[float]:
+    """Twice the sketch's error plus two ranks to both sides; wider after each miss."""
     margin = (2 / ACCURACY + 2 / rows) * 2**missed
-    return F.percentile_approx(c, [max(0.0, fraction - margin), min(1.0, fraction + margin)], ACCURACY)
+    return [max(0.0, fraction - margin), min(1.0, fraction + margin)]
+
+
+def _sketch(c: Column, fraction: float, rows: int, missed: int = 0) -> Column:
+    return F.percentile_approx(c, _margins(fraction, rows, missed), ACCURACY)
 
 
 def _first_brackets(df: DataFrame, known: dict[str, int], probs: list[float]) -> list[_Target]:
-    wanted = [(c, p) for c in known for p in probs]
-    row = df.agg(*[_sketch(F.col(c), p, known[c]).alias(f"b{i}") for i, (c, p) in enumerate(wanted)]).first()
+    # One sketch a column answers for all its quantiles.
+    columns = list(known)
+    row = df.agg(*[
+        F.percentile_approx(F.col(c), [x for p in probs for x in _margins(p, known[c])], ACCURACY).alias(f"b{i}")
+        for i, c in enumerate(columns)
+    ]).first()
     return [
-        _Target(c, p, p * (known[c] - 1), *row[i]) for i, (c, p) in enumerate(wanted)
+        _Target(c, p, p * (known[c] - 1), *row[i][2 * k:2 * k + 2]) for i, c in enumerate(columns) for k, p in enumerate(probs)
     ]
 
 

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pacelake.functions.scalars import whole_second
-from pacelake.operators.ordering import newest_per_key, number_rows, running_sum
+from pacelake.operators.ordering import largest_group, newest_per_key, number_rows, running_sum
 from pacelake.schemas import WINDOW_ROWS
 from pacelake.session import MAX_GROUP_ROWS
 
 USER = "user_id"
+SUMMARY_WINDOWS = 512
 
 
 def pack_chunks(numbered: DataFrame, columns: Sequence[str], n: int, pos: str = "pos") -> DataFrame:
@@ -47,7 +50,14 @@ def rows_before(
         cond = (r["pos"] >= low) & (r["pos"] < high)
         return cond & (r["begin"] < keep) if keep is not None else cond
 
-    window = F.filter(F.coalesce("rows", F.array().cast(chunks.schema["rows"].dataType)), inside)
+    rows = F.coalesce("rows", F.array().cast(chunks.schema["rows"].dataType))
+    window = F.filter(rows, inside)
+    if keep is None:
+        # Positions follow each other, so that the rows need not be looked at one by one.
+        first, last = F.get(rows, F.lit(0))["pos"], F.get(rows, F.size(rows) - 1)["pos"]
+        start = F.greatest(low, first)
+        part = F.slice(rows, (start - first + 1).cast("int"), F.greatest(high - start, F.lit(0)).cast("int"))
+        window = F.when(last - first + 1 == F.size(rows), part).otherwise(window)
     return found.withColumn("window", window).drop("rows", "chunk")
 
 
@@ -58,10 +68,12 @@ def count_before(
     row_id: str,
     at: str,
     max_group_rows: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``n_before`` to ``anchors``: number of history rows of the athlete with begin < at.
 
     Union and running count instead of a range join. At equal times the anchor sorts first.
+    ``largest`` bounds an athlete's rows and anchors together, if that is known.
     """
     rows = history.select(
         USER, F.col(begin).alias("_t"), F.lit(1).cast("long").alias("_is_row"), F.col(row_id).alias("_id")
@@ -69,7 +81,7 @@ def count_before(
     marks = anchors.withColumns({"_t": F.col(at), "_is_row": F.lit(0).cast("long")})
     both = marks.unionByName(rows, allowMissingColumns=True)
     counted = running_sum(
-        both, [USER], ["_t", "_is_row", "_id"], F.col("_is_row"), "n_before", max_group_rows
+        both, [USER], ["_t", "_is_row", "_id"], F.col("_is_row"), "n_before", max_group_rows, largest
     )
     return counted.filter("_is_row = 0").select(*anchors.columns, "n_before")
 
@@ -93,14 +105,15 @@ def training_windows(
     as they begin before the session; history and session numbers need not match, so a
     window can be short. ``mode="asof"`` takes the true last n rows before the session.
     """
-    past = number_rows(history, [USER], [begin, row_id], "pos", max_group_rows)
+    most_rows, most_sessions = largest_group(history, [USER]), largest_group(sessions, [USER])
+    past = number_rows(history, [USER], [begin, row_id], "pos", max_group_rows, most_rows)
     chunks = pack_chunks(past, [F.col(begin).alias("begin"), *columns], n)
-    marks = number_rows(sessions, [USER], [start, session_id], "session_no", max_group_rows)
+    marks = number_rows(sessions, [USER], [start, session_id], "session_no", max_group_rows, most_sessions)
     marks = marks.filter(F.col("session_no") >= n).withColumn("_cut", whole_second(start))
     if mode == "reference":
         out = rows_before(chunks, marks, "session_no", n, keep=F.col("_cut"))
     elif mode == "asof":
-        marks = count_before(history, marks, begin, row_id, "_cut", max_group_rows)
+        marks = count_before(history, marks, begin, row_id, "_cut", max_group_rows, most_rows + most_sessions)
         out = rows_before(chunks, marks, "n_before", n).drop("n_before")
     else:
         raise ValueError(f"unknown mode {mode!r}")
@@ -188,9 +201,31 @@ def feature_vector(df: DataFrame, columns: Sequence[str], name: str = "x") -> Da
     return df.withColumn(name, F.array(*cells))
 
 
-def _sum(rows: Column, width: int) -> Column:
-    zero = F.array_repeat(F.lit(0.0), width)
-    return F.aggregate(rows, zero, lambda total, r: F.zip_with(total, r["x"], lambda a, b: a + b))
+def _summary(width: int):
+    """Mean, last value and trend of each window, one after the other; windows come as flat arrays.
+
+    Rows are added in order, windows of equal length together.
+    """
+
+    def run(flat: pa.Array) -> pa.Array:
+        size = np.diff(flat.offsets.to_numpy()) // max(width, 1)
+        cells = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat.flatten()) // max(width, 1), width)
+        start = np.cumsum(size) - size
+        out = np.zeros((len(size), 3, width))
+        for n in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == n)
+            half = n // 2
+            for low in range(0, len(at), SUMMARY_WINDOWS):
+                part = at[low:low + SUMMARY_WINDOWS]
+                rows = cells[start[part][:, None] + np.arange(n)]
+                older, newer = rows[:, :half].sum(axis=1), rows[:, half:].sum(axis=1)
+                out[part, 0] = (older + newer) / n
+                out[part, 1] = rows[:, -1]
+                out[part, 2] = newer / (n - half) - older / max(half, 1)
+        ends = pa.array(np.arange(len(size) + 1) * 3 * width, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    return F.arrow_udf(run, "array<double>")
 
 
 def summarise(df: DataFrame, width: int, window: str = "window") -> DataFrame:
@@ -200,22 +235,12 @@ def summarise(df: DataFrame, width: int, window: str = "window") -> DataFrame:
     The trend is the mean of the newer half minus the mean of the older half. An empty
     window gives 0.
     """
-    rows, half = F.size(window), F.floor(F.size(window) / 2).cast("int")
-    sums = df.withColumns({
-        "window_rows": rows,
-        "_older": _sum(F.slice(window, 1, half), width),
-        "_newer": _sum(F.slice(window, half + 1, rows), width),
-    })
-    n_old = F.floor(F.col("window_rows") / 2)
-    n_new = F.greatest(F.col("window_rows") - n_old, F.lit(1))
-    n_old, n = F.greatest(n_old, F.lit(1)), F.greatest("window_rows", F.lit(1))
+    flat = F.flatten(F.transform(window, lambda r: r["x"]))
+    sums = df.withColumn("window_rows", F.size(window)).withColumn("_summary", _summary(width)(flat))
+    parts = ("window_mean", "window_last", "window_trend")
     return sums.withColumns({
-        "window_mean": F.zip_with("_older", "_newer", lambda a, b: (a + b) / n),
-        "window_last": F.coalesce(
-            F.get(F.col(window), F.size(window) - 1)["x"], F.array_repeat(F.lit(0.0), width)
-        ),
-        "window_trend": F.zip_with("_older", "_newer", lambda a, b: b / n_new - a / n_old),
-    }).drop("_older", "_newer")
+        name: F.slice("_summary", i * width + 1, width) for i, name in enumerate(parts)
+    }).drop("_summary")
 
 
 def flat_matrix(df: DataFrame, width: int, n: int, window: str = "window") -> DataFrame:
